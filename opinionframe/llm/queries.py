@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionframe.llm.canonical import match_values
+from opinionframe.llm.spam import FEATURES, spam_scores
 from opinionframe.llm.textnorm import blank
 from opinionframe.operators.heavy_keys import skew_join
 from opinionframe.session import cut_lineage, table
@@ -34,5 +35,14 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).filter("entry_id IS NULL").groupBy("src_table", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_scores(table(spark, d, "documents"), "doc_id", "text").filter("is_spam").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_by_language(spark: SparkSession, d: str) -> DataFrame:
+    means = (F.round(F.avg(f), 4).alias(f"mean_{f}") for f in FEATURES)
+    return spam_scores(table(spark, d, "documents"), "doc_id", "text").groupBy("lang", "is_spam").agg(F.count(F.lit(1)).alias("n_docs"), *means)
+
+
+QUERIES = {"p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE_SQL: dict[str, str] = {}
