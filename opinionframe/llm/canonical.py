@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinionframe.llm import textnorm as tn
+from opinionframe.session import cut_lineage
 
 #: Words that people put around a value without meaning them (fixed values: "aspect", "seems to be").
 AROUND = frozenset({"аспект", "вроде", "бы", "aspekt", "vrode", "by"})
@@ -112,13 +113,16 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``entries`` has ``entry_id, name``, one row for each name or synonym.
     """
-    distinct = values.select("value").filter("value IS NOT NULL").distinct()
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work a row: spread them evenly
+    distinct = values.select("value").filter("value IS NOT NULL").distinct().repartition(parts, "value")
     sets = _sets(distinct, "value", ["value"])
     rarity = (
         sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
         .agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("rarity"))  # letter pairs: bounded by the alphabet
     )
-    sets, names = _ordered(sets, rarity), _ordered(_sets(entries.filter("name IS NOT NULL"), "name", ["entry_id", "name"]).filter("reading = 0"), rarity)
+    sets = cut_lineage(_ordered(sets, rarity))
+    names = cut_lineage(_ordered(_sets(entries.filter("name IS NOT NULL"), "name", ["entry_id", "name"]).filter("reading = 0"), rarity))
     high = best_entries(sets, names, HIGH)
     low = best_entries(sets.join(high.select("value"), "value", "left_anti"), names, LOW)
     found = high.unionByName(low).withColumn("alike", F.when(F.col("jaccard") < SURE, _words_alike("value", "name")).otherwise(F.lit(1.0))).filter(F.col("alike") >= WORDS_ALIKE)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionframe.llm.canonical import match_values
+from opinionframe.llm.near_dup import class_links, linked_ids, near_duplicate_documents, text_classes
 from opinionframe.llm.spam import FEATURES, spam_scores
 from opinionframe.llm.textnorm import blank
 from opinionframe.operators.heavy_keys import skew_join
@@ -44,5 +45,14 @@ def p9_by_language(spark: SparkSession, d: str) -> DataFrame:
     return spam_scores(table(spark, d, "documents"), "doc_id", "text").groupBy("lang", "is_spam").agg(F.count(F.lit(1)).alias("n_docs"), *means)
 
 
-QUERIES = {"p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    members = cut_lineage(text_classes(table(spark, d, "reviews"), "id", "full_text"))
+    return linked_ids(members, class_links(members))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_documents(table(spark, d, "reviews"), "id", "full_text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE_SQL: dict[str, str] = {}
