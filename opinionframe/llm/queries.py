@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opinionframe.llm.canonical import match_values
 from opinionframe.llm.clusters import phrase_clusters
 from opinionframe.llm.near_dup import class_links, linked_ids, near_duplicate_documents, text_classes
+from opinionframe.llm.sentences import sentences
 from opinionframe.llm.spam import FEATURES, spam_scores
 from opinionframe.llm.textnorm import blank
 from opinionframe.operators.heavy_keys import skew_join
@@ -75,5 +76,19 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("cluster").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_wordings"), F.min("name_id").alias("cluster_id")).join(top, "cluster")
 
 
-QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def _all_sentences(spark: SparkSession, d: str) -> DataFrame:
+    reviews, chunks = table(spark, d, "reviews"), table(spark, d, "parsed_chunks")
+    a = sentences(reviews, "id", "full_text").withColumn("src_table", F.lit("reviews"))
+    return a.unionByName(sentences(chunks, "chunk_id", "sentence").withColumn("src_table", F.lit("parsed_chunks")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _all_sentences(spark, d).select("src_table", "record_id", "start_offset", "end_offset").distinct()
+
+
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _all_sentences(spark, d).select("src_table", "record_id", "seq", "sentence").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_sentences": p2_sentences, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE_SQL: dict[str, str] = {}
