@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from opinionframe.llm.canonical import match_values
 from opinionframe.llm.clusters import phrase_clusters
+from opinionframe.llm.mixing import kind_key, language_key, mixture, mixture_report, source_key
 from opinionframe.llm.near_dup import class_links, linked_ids, near_duplicate_documents, text_classes
+from opinionframe.llm.packing import pack_summary, packs
 from opinionframe.llm.sentences import sentences
 from opinionframe.llm.spam import FEATURES, spam_scores
 from opinionframe.llm.textnorm import blank
+from opinionframe.llm.tokens import with_token_counts
 from opinionframe.operators.heavy_keys import skew_join
 from opinionframe.session import cut_lineage, table
 
@@ -90,5 +93,33 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _all_sentences(spark, d).select("src_table", "record_id", "seq", "sentence").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_sentences": p2_sentences, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def _capacities(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pack_sizes").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+
+
+def p7_packs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    sized = cut_lineage(with_token_counts(docs.filter("doc_id IS NOT NULL"), "text", [F.col("doc_id").alias("id"), F.md5("text").alias("m")]))
+    return packs(sized.dropDuplicates(["id", "m"]).drop("m"), _capacities(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    return pack_summary(p7_packs(spark, d), _capacities(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    keep = [F.col("doc_id").alias("id"), source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), kind_key(F.col("text")).alias("kind"), F.md5("text").alias("text_key")]
+    return mixture(with_token_counts(docs, "text", keep), table(spark, d, "source_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_report(cut_lineage(_mixed(spark, d)), table(spark, d, "source_targets"))
+
+
+QUERIES = {"p7_packs": p7_packs, "p7_summary": p7_summary, "p8_mixture": p8_mixture, "p8_report": p8_report, "p2_found": p2_found, "p2_sentences": p2_sentences, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE_SQL: dict[str, str] = {}
