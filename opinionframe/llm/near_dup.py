@@ -218,13 +218,13 @@ def components(nodes: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     ``nodes`` has one column ``node``. Each round takes the smallest label among the neighbours and then follows labels
     once more, which halves the remaining paths, so long chains need few rounds.
     """
-    edges = cut_lineage(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct())
-    labels = cut_lineage(edges.groupBy("s").agg(F.least(F.first("s"), F.min("t")).alias("l")))
+    edges = cut_lineage(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct(), in_loop=True)
+    labels = cut_lineage(edges.groupBy("s").agg(F.least(F.first("s"), F.min("t")).alias("l")), in_loop=True)
     while True:
         best = edges.join(labels.withColumnRenamed("s", "t"), "t").groupBy("s").agg(F.min("l").alias("m"))
         near = labels.join(best, "s").select("s", F.least("l", "m").alias("l"), F.col("l").alias("before"))
         jump = near.select(F.col("s").alias("l"), F.col("l").alias("j"))
-        now = cut_lineage(near.join(jump, "l").select("s", F.least("l", "j").alias("l"), "before"))
+        now = cut_lineage(near.join(jump, "l").select("s", F.least("l", "j").alias("l"), "before"), in_loop=True)
         if now.filter("l <> before").isEmpty():
             break
         labels = now.select("s", "l")
