@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +33,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, in_loop: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    A checkpoint keeps what its plan knew of order, partitioning and constraints. In a loop each round would add to
+    that of the last, and analysis would take ever longer; with ``in_loop`` it is a written table, which keeps nothing.
+    """
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if not in_loop:
+        return df.checkpoint(eager=True)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
