@@ -46,3 +46,16 @@ def sql_plan(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def r6(*cols: str) -> list:
     return [F.round(F.col(c), 6).alias(c) for c in cols]
+
+
+def counted(text: str) -> str:
+    """``count_if(x)`` written as a count of cases, whose type is the same in every engine."""
+    out, i = "", 0
+    while (k := text.find("count_if(", i)) >= 0:
+        depth, j = 1, k + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[j], 0)
+            j += 1
+        out += text[i:k] + f"count(CASE WHEN {text[k + 9 : j - 1]} THEN 1 END)"
+        i = j
+    return out + text[i:]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionframe.functions import rating as R
-from opinionframe.plans.base import PAIRS_SQL, pairs, r6, sql_plan
+from opinionframe.plans.base import PAIRS_SQL, counted, pairs, r6, sql_plan
 from opinionframe.session import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -15,7 +15,7 @@ QUERIES, ORACLE_SQL = {}, {}
 def _add(name: str, fn, sql: str | None) -> None:
     QUERIES[name] = fn
     if sql is not None:
-        ORACLE_SQL[name] = sql
+        ORACLE_SQL[name] = counted(sql)
 
 
 def _same(name: str, sql: str) -> None:

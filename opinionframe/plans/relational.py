@@ -10,7 +10,7 @@ from opinionframe.functions import vectors as V
 from opinionframe.functions.rating import length_trust
 from opinionframe.operators.upsert import upsert_latest
 from opinionframe.operators.windows import first_by, head_by, share_of_total
-from opinionframe.plans.base import PAIRS_SQL, pairs, sql_plan
+from opinionframe.plans.base import PAIRS_SQL, counted, pairs, sql_plan
 from opinionframe.session import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -19,7 +19,7 @@ QUERIES, ORACLE_SQL = {}, {}
 def _add(name: str, fn, sql: str | None) -> None:
     QUERIES[name] = fn
     if sql is not None:
-        ORACLE_SQL[name] = sql
+        ORACLE_SQL[name] = counted(sql)
 
 
 def _same(name: str, sql: str) -> None:
@@ -116,7 +116,7 @@ _add("c23_as_of", c_asof, "WITH e AS (SELECT event_id, event_type, last_value(CA
 # --- windows, sorts, sets
 _add("e1_first_span", lambda s, d: first_by(table(s, d, "candidates").select("review_id", "candidate_id", "start_offset", "end_offset").distinct(), ["review_id"], [F.col("start_offset") < 0, F.col("start_offset"), -(F.col("end_offset") - F.col("start_offset")), F.col("candidate_id")]).select("review_id", "candidate_id"),
      "WITH r AS (SELECT review_id, candidate_id, row_number() OVER (PARTITION BY review_id ORDER BY start_offset < 0, start_offset, -(end_offset - start_offset), candidate_id) AS k FROM (SELECT DISTINCT review_id, candidate_id, start_offset, end_offset FROM candidates) y) SELECT review_id, candidate_id FROM r WHERE k = 1")
-_same("e2_occurrence_number", "SELECT candidate_id, row_number() OVER (PARTITION BY review_id, text ORDER BY candidate_id) AS k FROM (SELECT DISTINCT candidate_id, review_id, text FROM candidates) x")
+_same("e2_occurrence_number", "SELECT candidate_id, CAST(row_number() OVER (PARTITION BY review_id, text ORDER BY candidate_id) AS BIGINT) AS k FROM (SELECT DISTINCT candidate_id, review_id, text FROM candidates) x")
 _add("e3_top7_per_product", lambda s, d: head_by(table(s, d, "product_aggregates").select("nm_id", "run_id", "aspect_name", "aspect_source", "n_reviews_contributing").distinct(), ["nm_id"], [F.desc("n_reviews_contributing"), F.asc("run_id"), F.asc("aspect_name"), F.asc("aspect_source")], 7).drop("rank"),
      "WITH r AS (SELECT *, row_number() OVER (PARTITION BY nm_id ORDER BY n_reviews_contributing DESC, run_id, aspect_name, aspect_source) AS k FROM (SELECT DISTINCT nm_id, run_id, aspect_name, aspect_source, n_reviews_contributing FROM product_aggregates) y) SELECT nm_id, run_id, aspect_name, aspect_source, n_reviews_contributing FROM r WHERE k <= 7")
 _same("e4_margin", "WITH r AS (SELECT review_id, p_entailment AS s, row_number() OVER (PARTITION BY review_id ORDER BY p_entailment DESC) AS k FROM (SELECT DISTINCT prediction_id, review_id, p_entailment FROM nli_predictions WHERE p_entailment IS NOT NULL) x) SELECT review_id, max(CASE WHEN k = 1 THEN s END) AS best, round(max(CASE WHEN k = 1 THEN s END) - max(CASE WHEN k = 2 THEN s END), 6) AS margin FROM r GROUP BY review_id")
@@ -124,7 +124,7 @@ _same("e7_max_per_pair", "SELECT review_id, aspect_name, max(final_rating) AS be
 _add("e8_share_of_total", lambda s, d: share_of_total(table(s, d, "parsed_chunks"), ["dep_label"]).select("dep_label", "n", F.round("share", 6).alias("share")), "SELECT dep_label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM parsed_chunks GROUP BY dep_label")
 _same("e9_average_ranks", "SELECT vec_id, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0e0 AS avg_rank FROM embeddings")
 _same("e11_mode_with_ties", "WITH c AS (SELECT nm_id, category, count(*) AS n FROM reviews WHERE category IS NOT NULL GROUP BY nm_id, category), r AS (SELECT nm_id, category, row_number() OVER (PARTITION BY nm_id ORDER BY n DESC, category) AS k FROM c) SELECT nm_id, category FROM r WHERE k = 1")
-_same("e12_lag_ntile", "SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
+_same("e12_lag_ntile", "SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS quarter, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
 _add("f1_hard_cases", lambda s, d: pairs(s, d).select("prediction_id", F.round(F.abs(F.col("pred") - F.col("gold")), 6).alias("e")).orderBy(F.desc("e"), "prediction_id").limit(30), PAIRS_SQL + "SELECT prediction_id, round(abs(pred - gold), 6) AS e FROM pairs ORDER BY e DESC, prediction_id LIMIT 30")
 _same("f5_worst_union_heads", PAIRS_SQL + ", w AS (SELECT prediction_id FROM pairs ORDER BY abs(pred - gold) DESC, prediction_id LIMIT 20), h AS (SELECT prediction_id FROM (SELECT prediction_id, row_number() OVER (PARTITION BY nm_id ORDER BY prediction_id) AS k FROM pairs) x WHERE k <= 3) SELECT prediction_id FROM w UNION SELECT prediction_id FROM h")
 _same("f7_page", "SELECT DISTINCT id FROM reviews ORDER BY id LIMIT 50 OFFSET 100")
@@ -156,7 +156,7 @@ _add("i13_length_trust", lambda s, d: _texts(s, d).filter(r"t NOT RLIKE '(?U)[\\
      rf"SELECT id, round(1 / (1 + exp(-0.8 * (CASE WHEN trim(t) = '' THEN 0 ELSE len(string_split_regex(trim(t), ' +')) END - 4))), 6) AS trust FROM ({_ID}) y WHERE NOT regexp_matches(t, '[\t\n\r\v\f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
 
 # --- dates, arrays, vectors
-_same("j1_review_age", "SELECT DISTINCT id, CAST(ingested_at AS DATE) AS day, year(created_date) AS y, month(created_date) AS m FROM reviews WHERE created_date IS NOT NULL")
+_same("j1_review_age", "SELECT DISTINCT id, CAST(ingested_at AS DATE) AS day, CAST(year(created_date) AS BIGINT) AS y, CAST(month(created_date) AS BIGINT) AS m FROM reviews WHERE created_date IS NOT NULL")
 _add("j2_array_profile", lambda s, d: table(s, d, "product_aggregates").select("run_id", "nm_id", "aspect_name", "aspect_source", F.size("contributing_review_ids").cast("bigint").alias("n_ids"), F.array_join(F.array_sort(F.array_distinct("contributing_review_ids")), "|").alias("ids")).distinct(), "SELECT DISTINCT run_id, nm_id, aspect_name, aspect_source, len(contributing_review_ids) AS n_ids, array_to_string(list_sort(list_distinct(contributing_review_ids)), '|') AS ids FROM product_aggregates")
 _add("k2_unit_centroids", lambda s, d: V.mean_vectors(table(s, d, "embeddings").select("label", V.unit(F.col("embedding")).alias("u")), "label", "u").select("label", F.round(V.norm(F.col("centroid")), 5).alias("length")),
      "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i) SELECT label, round(sqrt(sum(x * x)), 5) AS length FROM m GROUP BY label")

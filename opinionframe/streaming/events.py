@@ -28,4 +28,4 @@ def first_deliveries(events: DataFrame, ts: str, keys: list[str], late: str = "2
 def running_scores(ratings: DataFrame, keys: list[str], value: str, strength: float = 1.0, prior: float = 3.0) -> DataFrame:
     """Smoothed scores per key from running sums; for a stream in update mode."""
     n, s = F.count(value), F.sum(value)
-    return ratings.groupBy(*keys).agg(n.alias("n"), F.greatest(F.lit(1.0), F.least(F.lit(5.0), (s + strength * prior) / (n + strength))).alias("score"))
+    return ratings.groupBy(*keys).agg(n.alias("n"), F.greatest(F.lit(1.0), F.least(F.lit(5.0), (F.coalesce(s, F.lit(0.0)) + strength * prior) / (n + strength))).alias("score"))
