@@ -16,7 +16,9 @@ unmatched; extra columns are ignored; values are used whole, however long.
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,11 +80,21 @@ def _sets(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.withColumn("sets", _token_sets(F.col(text))).select(*keys, F.posexplode("sets").alias("reading", "toks")).filter(F.size("toks") > 0)
 
 
-def _ordered(df: DataFrame, rarity: DataFrame) -> DataFrame:
-    """Tokens from rare to frequent. There is one map of all letter pairs, bounded by the alphabet's square."""
-    return df.crossJoin(F.broadcast(rarity)).withColumn(
-        "toks", F.transform(F.array_sort(F.transform("toks", lambda t: F.struct(F.coalesce(F.col("rarity")[t], F.lit(0)).alias("n"), t.alias("t")))), lambda s: s["t"])
-    ).drop("rarity").withColumn("n", F.size("toks"))
+def _ordered(df: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """Tokens from rare to frequent, by a table of a fixed size."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def order(toks: pd.Series) -> pd.Series:
+        rank: dict[str, int] = {}
+
+        def place(t: str) -> tuple[int, str]:
+            if t not in rank:
+                rank[t] = int(rarity[zlib.crc32(t.encode()) % len(rarity)])
+            return rank[t], t
+
+        return toks.map(lambda x: sorted(x, key=place))
+
+    return df.withColumn("toks", order("toks")).withColumn("n", F.size("toks"))
 
 
 def _prefix(df: DataFrame, t: float, tag: str) -> DataFrame:
@@ -116,11 +128,8 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work a row: spread them evenly
     distinct = values.select("value").filter("value IS NOT NULL").distinct().repartition(parts, "value")
-    sets = _sets(distinct, "value", ["value"])
-    rarity = (
-        sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("rarity"))  # letter pairs: bounded by the alphabet
-    )
+    sets = cut_lineage(_sets(distinct, "value", ["value"]))
+    rarity = tn.rarity_table(sets.select(F.explode("toks").alias("t")).select(F.crc32("t").alias("t")), "t")
     sets = cut_lineage(_ordered(sets, rarity))
     names = cut_lineage(_ordered(_sets(entries.filter("name IS NOT NULL"), "name", ["entry_id", "name"]).filter("reading = 0"), rarity))
     high = best_entries(sets, names, HIGH)
