@@ -32,10 +32,14 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def phrase_candidates(tokens: Column, shortest: int = 3) -> Column:
-    """Single words of at least ``shortest`` letters and pairs of such, each once, in order."""
+    """Single words of at least ``shortest`` letters and pairs of such, each once, in order.
+
+    Give it a column of words, not the expression: each use of an expression is worked out again.
+    """
     long_ = F.filter(tokens, lambda x: F.length(x) >= shortest)
-    pairs = F.filter(ngrams(tokens, 2), lambda p: F.forall(F.split(p, " "), lambda x: F.length(x) >= shortest))
-    return F.array_distinct(F.concat(long_, pairs))
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    both = F.zip_with(F.slice(tokens, F.lit(1), rest), F.slice(tokens, F.lit(2), rest), lambda x, y: F.when((F.length(x) >= shortest) & (F.length(y) >= shortest), F.concat_ws(" ", x, y)))
+    return F.array_distinct(F.concat(long_, F.filter(both, lambda p: p.isNotNull())))
 
 
 def normal_form(t: Column) -> Column:

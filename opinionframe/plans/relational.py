@@ -146,7 +146,7 @@ _add("h1_clean_text", lambda s, d: _texts(s, d).select("id", X.clean_text(F.col(
 _add("h2_plain_sentences", lambda s, d: _texts(s, d).filter(~F.col("t").rlike(r"(?U)[\s&&[^ ]]")).select("id", F.size(X.plain_sentences(F.col("t"))).cast("bigint").alias("n_sentences")),
      rf"SELECT id, greatest(1, len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: trim(x) <> ''))) AS n_sentences FROM ({_ID}) y WHERE NOT regexp_matches(t, '[\t\n\r\v\f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
 _add("h4_words", lambda s, d: _texts(s, d).select("id", F.size(X.words(F.col("t"))).alias("n_words")), None)
-_add("h6_phrase_candidates", lambda s, d: _texts(s, d).select("id", F.explode(X.phrase_candidates(X.words(F.col("t")))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), None)
+_add("h6_phrase_candidates", lambda s, d: _texts(s, d).select("id", X.words(F.col("t")).alias("w")).select("id", F.explode(X.phrase_candidates(F.col("w"))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), None)
 _add("h9_normal_form", lambda s, d: table(s, d, "candidates").filter("text IS NOT NULL").select("candidate_id", X.normal_form(F.col("text")).alias("norm")).distinct(), f"SELECT DISTINCT candidate_id, {_NORM('text')} AS norm FROM candidates WHERE text IS NOT NULL")
 _add("h20_contains_term", lambda s, d: table(s, d, "parsed_chunks").filter("sentence IS NOT NULL AND head_lemma IS NOT NULL").select("chunk_id", X.contains_term(F.lower("sentence"), F.col("head_lemma")).alias("holds")).distinct(), "SELECT DISTINCT chunk_id, contains(' ' || lower(sentence) || ' ', ' ' || head_lemma || ' ') AS holds FROM parsed_chunks WHERE sentence IS NOT NULL AND head_lemma IS NOT NULL")
 _same("h22_composed_text", "SELECT DISTINCT id, concat_ws(' ', nullif(trim(pros), ''), nullif(trim(cons), ''), nullif(trim(full_text), '')) AS body FROM reviews")
