@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinionframe.functions.text import WHITE_SPACE, strip
+
 EPS = 1e-6
 #: The parameters of the formula family.
 TEMPERATURES = (0.5, 0.7, 1.0, 1.3, 1.5, 2.0)
@@ -97,7 +99,7 @@ def formulas(pe: Column, pn: Column, pc: Column, now: Column) -> dict[str, Colum
 
 def length_trust(text: Column, slope: float = 0.8, middle: float = 4.0) -> Column:
     """A sigmoid of the number of words; blank and null texts count as no words."""
-    n = F.when(F.length(F.trim(text)) > 0, F.size(F.split(F.trim(text), r"\s+"))).otherwise(0)
+    n = F.when(F.length(strip(text)) > 0, F.size(F.split(strip(text), WHITE_SPACE + "+"))).otherwise(0)
     return 1 / (1 + F.exp(-slope * (n - middle)))
 
 

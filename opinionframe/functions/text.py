@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as Python's ``str.split`` knows it, for Java's regular expressions.
+WHITE_SPACE = r"(?U)[\s\x{1c}-\x{1f}]"
+
+
+def strip(t: Column) -> Column:
+    """``t`` without white space of any kind at both ends."""
+    return F.regexp_replace(t, rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+
 
 def clean_text(t: Column) -> Column:
     """Literal \\n to a space, a space after punctuation, other marks dropped, white space collapsed."""
@@ -16,8 +24,8 @@ def clean_text(t: Column) -> Column:
 
 def plain_sentences(t: Column) -> Column:
     """Pieces between runs of . ! ?, trimmed; the whole text if there are none."""
-    parts = F.filter(F.transform(F.split(t, r"[.!?]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(t)))
+    parts = F.filter(F.transform(F.split(t, r"[.!?]+"), strip), lambda x: F.length(x) > 0)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(t)))
 
 
 def words(t: Column) -> Column:

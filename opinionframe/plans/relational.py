@@ -143,7 +143,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(t, '\n', ' '), '([.,!?;:])([^\s])', '\1 \2', 'g'), '[^\w\s.,!?;:-]', '', 'g'), '\s+', ' ', 'g'))"
 _add("h1_clean_text", lambda s, d: _texts(s, d).select("id", X.clean_text(F.col("t")).alias("clean")), None)
-_add("h2_plain_sentences", lambda s, d: _texts(s, d).filter(~F.col("t").rlike(r"(?U)[\s&&[^ ]]")).select("id", F.size(X.plain_sentences(F.col("t"))).cast("bigint").alias("n_sentences")),
+_add("h2_plain_sentences", lambda s, d: _texts(s, d).select("id", F.size(X.plain_sentences(F.col("t"))).cast("bigint").alias("n_sentences")),
      rf"SELECT id, greatest(1, len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: trim(x) <> ''))) AS n_sentences FROM ({_ID}) y WHERE NOT regexp_matches(t, '[\t\n\r\v\f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
 _add("h4_words", lambda s, d: _texts(s, d).select("id", F.size(X.words(F.col("t"))).alias("n_words")), None)
 _add("h6_phrase_candidates", lambda s, d: _texts(s, d).select("id", X.words(F.col("t")).alias("w")).select("id", F.explode(X.phrase_candidates(F.col("w"))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), None)
@@ -152,7 +152,7 @@ _add("h20_contains_term", lambda s, d: table(s, d, "parsed_chunks").filter("sent
 _same("h22_composed_text", "SELECT DISTINCT id, concat_ws(' ', nullif(trim(pros), ''), nullif(trim(cons), ''), nullif(trim(full_text), '')) AS body FROM reviews")
 _same("h26_hypothesis", "SELECT aspect_id, concat(canonical_name, ' — это хорошо') AS positive, concat(canonical_name, ' — это плохо') AS negative FROM aspect_reference")
 _add("h0_stable_id", lambda s, d: table(s, d, "nli_predictions").select("prediction_id", X.stable_id(F.col("review_id"), F.col("aspect_name")).alias("sid")).distinct(), "SELECT DISTINCT prediction_id, substr(sha256(coalesce(review_id, 'None') || '|' || coalesce(aspect_name, 'None')), 1, 16) AS sid FROM nli_predictions")
-_add("i13_length_trust", lambda s, d: _texts(s, d).filter(r"t NOT RLIKE '(?U)[\\s&&[^ ]]'").select("id", F.round(length_trust(F.col("t")), 6).alias("trust")),
+_add("i13_length_trust", lambda s, d: _texts(s, d).select("id", F.round(length_trust(F.col("t")), 6).alias("trust")),
      rf"SELECT id, round(1 / (1 + exp(-0.8 * (CASE WHEN trim(t) = '' THEN 0 ELSE len(string_split_regex(trim(t), ' +')) END - 4))), 6) AS trust FROM ({_ID}) y WHERE NOT regexp_matches(t, '[\t\n\r\v\f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
 
 # --- dates, arrays, vectors
