@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionframe.functions import rating as R
 from opinionframe.plans.base import PAIRS_SQL, counted, pairs, r6, sql_plan
-from opinionframe.session import table
+from opinionframe.session import cut_lineage, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -243,7 +245,55 @@ _same("d48_group_spread", "SELECT aspect_source, count(final_rating) AS n, min(f
 _same("d47_negation_stats", "SELECT aspect_source, count_if(raw_rating <= 2 AND has_negation_match) AS eligible, count_if(negation_correction_applied) AS applied, round(avg(CASE WHEN has_negation_match THEN 1e0 ELSE 0e0 END), 6) AS match_rate FROM nli_predictions GROUP BY aspect_source")
 _same("d50_rollup", "SELECT aspect_source, passed_relevance_filter, count(*) AS n, round(avg(final_rating), 6) AS mean FROM nli_predictions GROUP BY ROLLUP (aspect_source, passed_relevance_filter) HAVING count(*) > 1")
 _same("d50_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
-_same("k19_lopo_threshold", PAIRS_SQL + """, t AS (SELECT 0.30 AS tau UNION ALL SELECT 0.35 UNION ALL SELECT 0.40 UNION ALL SELECT 0.45 UNION ALL SELECT 0.50),
+_TAUS, _PRODUCTS = 20_000, 500
+
+
+def _best_of_block(products: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    """Each product's best threshold of a block: counts of all pairs above it, less the product's own."""
+    out = []
+    tau, tp, fp, pos = (totals[c].to_numpy() for c in ("tau", "tp", "fp", "pos"))
+    for k, nm_id, scores, liked in zip(products["k"], products["nm_id"], products["scores"], products["liked"], strict=True) if len(tau) else ():
+        scores, liked = np.asarray(scores, dtype=float), np.asarray(liked, dtype=np.int64)
+        order = np.argsort(scores, kind="stable")
+        below = np.searchsorted(scores[order], tau, side="right")
+        cum = np.r_[0, np.cumsum(liked[order])]
+        t, f, n = tp - (cum[-1] - cum[below]), fp - ((len(scores) - below) - (cum[-1] - cum[below])), pos - cum[-1]
+        p, r = t / np.maximum(t + f, 1), t / np.maximum(n, 1)
+        f1 = 2 * t / np.maximum(t + f + n, 1)
+        i = np.lexsort((tau, -p.round(12), -r.round(12), -f1.round(12)))[0]
+        out.append((k, nm_id, f1[i], r[i], p[i], tau[i]))
+    return pd.DataFrame(out, columns=["k", "nm_id", "f1", "r", "p", "tau"]).astype({"nm_id": "Int64"})
+
+
+def k_lopo_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """For each product, the threshold best for all others: -1 and every distinct score, by F1, recall, precision, lowest.
+
+    A pair is accepted if its score is above the threshold. Blocks of thresholds meet chunks of products.
+    """
+    x = pairs(spark, d).select("nm_id", "pe", (F.col("gold") >= 4).cast("bigint").alias("y"))
+    at = x.filter("pe IS NOT NULL").groupBy("pe").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
+    at = at.unionByName(spark.sql("SELECT -1D AS pe, 0L AS t, 0L AS n"))
+    part = at.withColumn("part", F.floor(F.col("pe") * 1000).cast("int"))  # sums of the parts above, then within
+    parts = part.groupBy("part").agg(F.sum("t").alias("pt"), F.sum("n").alias("pn"), F.count(F.lit(1)).alias("size"))
+    over = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c) for c in ("pt", "pn", "size")), F.sum("pt").over(Window.partitionBy()).alias("pos"))  # about a thousand rows
+    above = Window.partitionBy("part").orderBy(F.desc("pe"))
+    before = above.rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut_lineage(part.join(parts, "part").select(
+        F.col("pe").alias("tau"), (F.col("pt") + F.coalesce(F.sum("t").over(before), F.lit(0))).alias("tp"), (F.col("pn") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("above"), "pos",
+        F.floor((F.col("size") + F.row_number().over(above) - 1) / _TAUS).cast("int").alias("blk"),
+    ).withColumn("fp", F.col("above") - F.col("tp")).drop("above"))
+    mine = cut_lineage(x.groupBy("nm_id").agg(F.collect_list(F.when(F.col("pe").isNotNull(), F.struct("pe", "y"))).alias("own")))
+    chunks = F.ceil(mine.count() / F.lit(_PRODUCTS)).cast("int")
+    mine = mine.select(F.coalesce(F.col("nm_id").cast("string"), F.lit("")).alias("k"), "nm_id", F.col("own.pe").alias("scores"), F.col("own.y").alias("liked")).withColumn("chunk", F.pmod(F.xxhash64("k"), chunks).cast("int"))
+    left = mine.crossJoin(F.broadcast(totals.select("blk").distinct()))  # a row a block
+    right = totals.crossJoin(F.broadcast(mine.select(F.col("chunk").alias("c")).distinct())).withColumnRenamed("blk", "b")
+    best = left.groupBy("chunk", "blk").cogroup(right.groupBy("c", "b")).applyInPandas(_best_of_block, "k string, nm_id bigint, f1 double, r double, p double, tau double")
+    one = best.groupBy("k").agg(F.first("nm_id").alias("nm_id"), F.min(F.struct(-F.round("f1", 12), -F.round("r", 12), -F.round("p", 12), "tau", "f1")).alias("b"))
+    return one.select("nm_id", F.col("b.tau").alias("tau"), F.round("b.f1", 6).alias("f1"))
+
+
+_add("k19_lopo_threshold", k_lopo_threshold, PAIRS_SQL + """, t AS (SELECT 0.30 AS tau UNION ALL SELECT 0.35 UNION ALL SELECT 0.40 UNION ALL SELECT 0.45 UNION ALL SELECT 0.50),
 s AS (SELECT nm_id, tau, count_if(pe >= tau AND gold >= 4) AS tp, count_if(pe >= tau AND gold < 4) AS fp, count_if(pe < tau AND gold >= 4) AS fn FROM pairs CROSS JOIN t GROUP BY nm_id, tau),
 a AS (SELECT tau, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM s GROUP BY tau),
 f AS (SELECT s.nm_id, s.tau, CASE WHEN a.tp > s.tp THEN 2.0 * (a.tp - s.tp) / (2 * (a.tp - s.tp) + (a.fp - s.fp) + (a.fn - s.fn)) ELSE 0.0 END AS f1 FROM s JOIN a ON a.tau = s.tau),

@@ -1,6 +1,7 @@
 """Plans over all their rows, against brute force on small tables."""
 
 import math
+import random
 import re
 
 import __spark_entry__ as entry
@@ -19,3 +20,22 @@ def test_texts_with_any_white_space(spark, tmp_path):
     assert got == {f"r{i}": max(1, len([x for x in re.split(r"[.!?]+", t) if x.strip()])) for i, t in enumerate(texts)}
     got = dict(_rows(spark, tmp_path, "i13_length_trust"))
     assert got == {f"r{i}": round(1 / (1 + math.exp(-0.8 * (len(t.split()) - 4))), 6) for i, t in enumerate(texts)}
+
+
+def test_threshold_of_all_other_products(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"p{i}", f"r{i}", rng.choice([1, 1, 2, 3, None]), "a", "s", rng.choice([None, 0.9, 0.05, 0.11, 0.33, 0.77, 0.771]), 0.1, 0.1, 3.0, 3.0, False, rng.choice([1.0, 3.0, 5.0])) for i in range(60)]
+    n = spark.createDataFrame([r[:-1] for r in rows] * 2, "prediction_id string, review_id string, nm_id long, aspect_name string, aspect_source string, p_entailment double, p_neutral double, p_contradiction double, raw_rating double, final_rating double, has_negation_match boolean")
+    g = spark.createDataFrame([(r[1], "a", r[-1]) for r in rows], "review_id string, gold_aspect string, gold_rating double")
+    scored = [(r[2], r[5], r[-1] >= 4) for r in rows if r[5] is not None]
+    want = {}
+    for product in {r[2] for r in rows}:
+        ranks = []
+        for tau in {-1.0, *(s for _, s, _ in scored)}:
+            train = [(s > tau, y) for k, s, y in scored if k != product]
+            tp, said, liked = sum(x and y for x, y in train), sum(x for x, _ in train), sum(y for _, y in train)
+            ranks.append((-round(2 * tp / max(said + liked, 1), 12), -round(tp / max(liked, 1), 12), -round(tp / max(said, 1), 12), tau))
+        best = min(ranks)
+        want[product] = (best[3], round(-best[0], 6))
+    got = {k: (tau, f1) for k, tau, f1 in _rows(spark, tmp_path, "k19_lopo_threshold", nli_predictions=n, gold_decisions=g)}
+    assert got == want
