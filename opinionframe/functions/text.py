@@ -14,6 +14,11 @@ def strip(t: Column) -> Column:
     return F.regexp_replace(t, rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
+def tokens(t: Column) -> Column:
+    """Lower-case pieces between white space of any kind."""
+    return F.filter(F.split(F.lower(t), WHITE_SPACE + "+"), lambda x: F.length(x) > 0)
+
+
 def clean_text(t: Column) -> Column:
     """Literal \\n to a space, a space after punctuation, other marks dropped, white space collapsed."""
     t = F.regexp_replace(t, r"\\n", " ")

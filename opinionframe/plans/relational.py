@@ -73,10 +73,18 @@ _add("c7_lexical_match", c_lexical, f"WITH a AS (SELECT DISTINCT {_NORM('medoid_
 
 
 def c_contained(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that hold both first words of a known phrase side by side: joined on a word, then verified."""
-    a = table(spark, d, "clusters").select("cluster_id", F.array_join(F.slice(F.split(F.lower("medoid_phrase"), " "), 1, 2), " ").alias("term")).withColumn("w", F.split_part("term", F.lit(" "), F.lit(1)))
-    c = table(spark, d, "candidates").select("candidate_id", F.lower("text").alias("text")).distinct().withColumn("w", F.explode(F.array_distinct(F.split("text", " "))))
-    return c.join(a, "w").filter(X.contains_term(F.col("text"), F.col("term"))).select("candidate_id", "cluster_id").distinct()
+    """Candidates whose words are a run of words of a known phrase or hold all its words as a run: each side's first word
+    is joined with all words of the other, then the run is verified."""
+    a = table(spark, d, "clusters").select("cluster_id", X.tokens(F.col("medoid_phrase")).alias("v")).filter("size(v) > 0").distinct()
+    c = table(spark, d, "candidates").select("candidate_id", X.tokens(F.col("text")).alias("t")).filter("size(t) > 0").distinct()
+    t = c.select("t").distinct()
+    first = lambda x: F.get(x, F.lit(0)).alias("w")
+    every = lambda x: F.explode(F.array_distinct(x)).alias("w")
+    holds = lambda x, y: X.contains_term(F.array_join(x, " "), F.array_join(y, " "))
+    wider = t.select("t", every("t")).join(a.select("cluster_id", "v", first("v")), "w").filter(holds("t", "v"))
+    narrower = t.select("t", first("t")).join(a.select("cluster_id", "v", every("v")), "w").filter(holds("v", "t"))
+    found = wider.select("t", "cluster_id").union(narrower.select("t", "cluster_id")).distinct()
+    return c.join(found, "t").select("candidate_id", "cluster_id").distinct()
 
 
 _add("c8_contained_terms", c_contained, "WITH a AS (SELECT cluster_id, split_part(lower(medoid_phrase), ' ', 1) || ' ' || split_part(lower(medoid_phrase), ' ', 2) AS term FROM clusters), c AS (SELECT DISTINCT candidate_id, lower(text) AS t FROM candidates) SELECT DISTINCT candidate_id, cluster_id FROM c JOIN a ON contains(' ' || t || ' ', ' ' || term || ' ')")

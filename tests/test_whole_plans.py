@@ -39,3 +39,14 @@ def test_threshold_of_all_other_products(spark, tmp_path):
         want[product] = (best[3], round(-best[0], 6))
     got = {k: (tau, f1) for k, tau, f1 in _rows(spark, tmp_path, "k19_lopo_threshold", nli_predictions=n, gold_decisions=g)}
     assert got == want
+
+
+def test_terms_contained_either_way(spark, tmp_path):
+    terms = ["Дымная веранда возле окна", "лифт", "вялый  лифт", "a b a c", None, " "]
+    texts = ["веранда возле", "дымная", "ДЫМНАЯ веранда", "была дымная веранда возле окна тут", "дымная окна", "вялый лифт", "лифта", "b a", "a\tc", "a c b", "", None, "x лифт"]
+    a = spark.createDataFrame(list(enumerate(terms)), "cluster_id int, medoid_phrase string")
+    c = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)] * 2, "candidate_id string, text string")
+    runs = lambda w: {tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    x, y = {f"c{i}": (t or "").lower().split() for i, t in enumerate(texts)}, {i: (t or "").lower().split() for i, t in enumerate(terms)}
+    want = sorted((i, k) for i, t in x.items() for k, v in y.items() if tuple(t) in runs(v) or tuple(v) in runs(t))
+    assert sorted(_rows(spark, tmp_path, "c8_contained_terms", clusters=a, candidates=c)) == want
