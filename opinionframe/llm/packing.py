@@ -1,9 +1,10 @@
 """Fill packs of fixed capacity with texts measured in tokens, splitting only what exceeds the capacity.
 
 Texts longer than the capacity give full packs and a remainder. The other items are dealt by hash into groups of about
-GROUP_ITEMS, and every group is packed by best fit in decreasing order, then by swap-based local search: for the bins
-filled less than half, an item is moved to, exchanged one for one with, or two are exchanged for one of, an item of a
-fuller bin, as long as the sum of squared fills grows, which empties bins. The bins that stay loose are broken up,
+GROUP_ITEMS, and every group is packed by best fit in decreasing order, then by swap-based local search: for every bin
+with room, emptiest first and again while it helps, an item is moved to, exchanged one for one with, or two are exchanged
+for one of, an item of a fuller bin, as long as the sum of squared fills grows, which empties bins. The search of a group
+ends at the least number of bins its tokens need, when no step is left, or after SEARCH_STEPS steps. The bins that stay loose are broken up,
 dealt again over all groups and packed once more, so a group's last bin isn't left half empty.
 
 Defined results: null, blank and empty texts and null ids aren't packed; repeated rows of an id and text are packed once;
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from opinionframe.session import cut_lineage
 
-GROUP_ITEMS, LOOSE = 4000, 0.02
+GROUP_ITEMS, LOOSE, SEARCH_STEPS = 4000, 0.02, 20_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -45,19 +46,31 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empties bins filled less than half into the others by moves and swaps that raise the sum of squared fills."""
+    """Empties bins into fuller ones by moves and swaps that raise the sum of squared fills, at most SEARCH_STEPS of them."""
     fill = np.array([int(sizes[b].sum()) for b in bins], dtype=np.int64)
     least = -(-int(sizes.sum()) // capacity)
     where = np.empty(len(sizes), dtype=np.int64)
     for k, b in enumerate(bins):
         where[b] = k
-    alive = len(bins)
-    for d in np.argsort(fill, kind="stable").tolist():
-        if alive <= least or fill[d] * 2 >= capacity:
-            break
-        while bins[d]:
-            others = np.flatnonzero((fill > 0) & (fill < capacity) & (fill >= fill[d]))
-            others = others[others != d]
+    alive, steps, before = len(bins), 0, -1
+    while steps != before:
+        before = steps
+        for d in np.argsort(fill, kind="stable").tolist():
+            if alive <= least or steps >= SEARCH_STEPS:
+                return [b for b in bins if b]
+            steps += _empty_into_others(d, bins, fill, where, sizes, capacity, SEARCH_STEPS - steps)
+            alive = int((fill > 0).sum())
+    return [b for b in bins if b]
+
+
+def _empty_into_others(d: int, bins: list[list[int]], fill: np.ndarray, where: np.ndarray, sizes: np.ndarray, capacity: int, budget: int) -> int:
+    """Takes steps that make bin ``d`` emptier and a fuller one fuller until there is none; how many were taken."""
+    steps = 0
+    if fill[d] < capacity:
+        while bins[d] and steps < budget:
+            able = (fill > 0) & (fill < capacity) & (fill >= fill[d])
+            able[d] = False
+            others = np.flatnonzero(able)
             if not len(others) or (capacity - fill[others]).sum() < fill[d]:
                 break
             mine = np.array(sorted(bins[d], key=lambda i: (-sizes[i], i)))
@@ -70,7 +83,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
                     a, gain, target = [i], int(sizes[i]), int(fits[k])
                     break
             if a is None:
-                theirs = np.flatnonzero(np.isin(where, others))
+                theirs = np.flatnonzero(able[where])
                 most = sizes[theirs] + free[where[theirs]]  # the largest thing that could stand in an item's place
                 pair_i, pair_j = np.triu_indices(len(mine), 1)
                 things = np.concatenate([sizes[mine], sizes[mine[pair_i]] + sizes[mine[pair_j]]])
@@ -92,9 +105,8 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
                 where[b] = d
             fill[d] -= gain
             fill[target] += gain
-        if not bins[d]:
-            alive -= 1
-    return [b for b in bins if b]
+            steps += 1
+    return steps
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:

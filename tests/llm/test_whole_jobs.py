@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from opinionframe.llm import clusters as cl
+from opinionframe.llm.packing import best_fit, pack
 
 
 @pytest.mark.parametrize("block", [2000, 2])
@@ -25,3 +27,16 @@ def test_items_are_linked_to_all_of_their_key(spark, monkeypatch, block):
 def test_stems_are_corrected_past_an_unlike_heavier_one(spark):
     words = spark.createDataFrame([("abcdef", 1), ("cdabef", 1000), ("abxyef", 300), ("qwertyu", 1), ("qwertyi", 10), ("qwertoi", 200)], "w string, n long")
     assert {r.w: r.to for r in cl._corrections(words).collect()} == {"abcdef": "abxyef", "qwertyu": "qwertoi", "qwertyi": "qwertoi"}
+
+
+def test_bins_over_half_full_are_emptied_too():
+    rng = np.random.default_rng(5)
+    fitted = packed = 0
+    for _ in range(20):
+        s = rng.integers(25, 62, 120)
+        bins = best_fit(s, 100)
+        at = pack(s, 100)
+        fill = np.bincount(at, weights=s)
+        assert fill.max() <= 100 and fill.min() > 0 and len(at) == 120
+        fitted, packed = fitted + len(bins), packed + len(fill)
+    assert packed <= fitted - 10
