@@ -44,6 +44,8 @@ BLOCK, BROADCAST_ROWS = 2000, 100_000
 #: Words in Latin or Cyrillic letters, or numbers.
 _WORD = re.compile(r"[a-zªºß-öø-ʯḀ-ỿЀ-ԯᲀ-ᲈⷠ-ⷿꙀ-ꚟ̀-ͯ]+|\d+")
 _SEEDS = np.random.default_rng(17).integers(0, 2**32, POSITIONS, dtype=np.uint32)
+#: The number of each run of four bytes, above its bytes in a key.
+_RUNS = np.arange(POSITIONS // RUN, dtype=np.int64) << 32
 
 
 def words(text: str) -> list[str]:
@@ -90,14 +92,16 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         seen.clear()
                     h = seen[key] = hash64(key)
                 toks[at] = h
-            out.append((i, cls, toks, signature(toks).view(np.int64)))
-        yield pd.DataFrame(out, columns=["id", "cls", "toks", "sig"])
+            sig = signature(toks)
+            out.append((i, cls, toks, sig[:TALLIED].view("<i8"), sig.view("<u4").astype(np.int64) + _RUNS))
+        yield pd.DataFrame(out, columns=["id", "cls", "toks", "sig", "keys"])
 
 
 def text_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, cls, toks, sig`` of every text long enough: texts with equal words have equal ``cls``."""
+    """``id, cls, toks, sig, keys`` of every text long enough: texts with equal words have equal ``cls``. ``sig`` holds the
+    tallied bytes, eight to a number, and ``keys`` the runs the index lists the text under."""
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct()
-    return rows.mapInPandas(_classes, "id string, cls string, toks array<bigint>, sig array<bigint>")
+    return rows.mapInPandas(_classes, "id string, cls string, toks array<bigint>, sig array<bigint>, keys array<bigint>")
 
 
 def in_blocks(rows: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
@@ -129,11 +133,10 @@ def class_links(classes: DataFrame) -> DataFrame:
     ``classes`` has a row for each text; it should be written or checkpointed.
     """
     one = cut_lineage(
-        classes.groupBy("cls").agg(F.first("toks").alias("toks"), F.first("sig").alias("sig")).withColumn("cid", F.conv(F.substring("cls", 1, 15), 16, 10).cast("bigint")).withColumn("n", F.size("toks"))
+        classes.groupBy("cls").agg(F.first("toks").alias("toks"), F.first("sig").alias("sig"), F.first("keys").alias("keys")).withColumn("cid", F.conv(F.substring("cls", 1, 15), 16, 10).cast("bigint")).withColumn("n", F.size("toks"))
     )
-    half = [F.shiftrightunsigned(F.element_at("sig", g // 2 + 1), 32 * (g % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(g << 32)) for g in range(POSITIONS // RUN)]
     tallied = range(TALLIED // 8)
-    posted = one.select("cid", "n", *(F.element_at("sig", k + 1).alias(f"s{k}") for k in tallied), F.explode(F.array(*half)).alias("key"))
+    posted = one.select("cid", "n", *(F.element_at("sig", k + 1).alias(f"s{k}") for k in tallied), F.explode("keys").alias("key"))
     left, right = in_blocks(posted, "key", "cid")
     a, b = left.alias("a"), right.alias("b")
     longer, shorter = F.greatest("a.n", "b.n"), F.least("a.n", "b.n")
