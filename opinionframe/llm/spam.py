@@ -1,23 +1,29 @@
 """Find keyword-stuffed pages, link lists and tag lists among documents of many languages.
 
-Each document becomes five features: the density of links, tags and bare numbers, the entropy of its words, the share of
-repeated word triples, the rate of function words, and the share of its letters in stretches without function words.
-Location and scatter of each language come from concentration steps (start at medians and MADs, then mean and covariance
-of the three quarters nearest, twice), so that spam doesn't widen what counts as usual. A document is flagged if its
-Mahalanobis distance is an outlier's, it lies in a spam-directed direction, and, checked exactly, most of its letters
-stand in links, tags or lines almost without function words.
-
-All statistics cover all documents; what reaches the driver is 20 numbers for each of at most ten languages.
-
-Defined results: null, blank and very short texts (fewer than MIN_UNITS words or links) are never flagged; a language
-with fewer than MIN_DOCS documents is judged by the pooled figures; repeated rows give one row; null ids give none;
-texts are read whole; extra columns are ignored.
+Each document becomes four features: the density of links, tags and bare numbers (share of its letters), the entropy of its
+words and how many of them are repetitions (both over windows of WINDOW words, so that long texts don't look repetitive),
+and the rate of function words on the page. Location and scatter of each language are those of the half of its documents that lies
+closest together (concentration steps from medians and deviations, until the centre stays), so spam doesn't widen what
+counts as usual even where it is nearly half of a language. A document is flagged if
+
+* its Mahalanobis distance is an outlier's (quantile 0.975 of chi-square), and
+* it lies in a spam-directed direction, at least half way: ``side`` is its place, in the metric of the scatter, on the
+  line from the language's centre (0) to a page of nothing but keywords or nothing but links (1), whichever is closer.
+
+There is no other rule beside these two. Short texts say little, so their deviation is shrunk by letters / (letters +
+SHORT); languages with few documents are drawn to the pooled figures by PRIOR documents' weight,
+and documents without a word of any language have those figures. All statistics cover all
+documents; what reaches the driver is some 20 numbers for each of at most ten languages and step.
+
+Defined results: null and blank texts are never flagged; repeated rows give one row; null ids give none; texts are read
+whole; extra columns are ignored; ties of the half go to both; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,97 +34,100 @@ from pyspark.sql import functions as F
 
 from opinionframe.session import cut_lineage
 
-MIN_UNITS, MIN_DOCS = 8, 50
-#: Quantile 0.999 of chi-square with 5 degrees of freedom, and the share of a page that makes it spam.
-OUTLIER, GREATER_PART = 20.5, 0.5
-#: Letters a function word at most, in running text.
-STRETCH = 60
-FEATURES = ("density", "entropy", "repetition", "function", "bare")
-#: In which direction of each feature spam lies.
-SPAM_SIDE = (1.0, -1.0, 1.0, -1.0, 1.0)
-KEPT = 0.75
-
-# Frequent function words (for scripts without spaces, frequent particles).
-FUNCTION_WORDS = frozenset(
-    """
-    и в во на с со по за а но что как не ни от для из к ко у о об же это так бы до при после без под над или чуть уже ещё еще очень
-    он она они оно его её был была было были мы я вы ты нам нас мне все всё всю через также только если перед пока себе вот ну спустя более это нет да дальше уже которое когда то том тем того этот эта эти
-    the a an and of to in on with for by at it is was were are while that this but we my from as i you so be not or after before which
-    our your its than too when within until over all some no off would may more
-    der die das den dem des ein eine einen einem einer und von für in auf mit zu ist war aber ich wir nicht es am im beim nach vor wie so
-    dass sich auch noch nur kaum zum zur an aus über bei deshalb ging
-    यह का के की है में से को ने पर और हो नहीं था थी थे ये वह बहुत थोड़ा ठीक तीन दो एक
-    من في على إلى عن مع تم قال هذا هذه جدا لم لا كان ما بعد قبل د
-    """.split()
-)
-PARTICLES = re.compile("[的了是很有不在和也都就我没比让说用着过这]|は|が|の|を|に|で|と|も|した|ない|です|ます|ที่|ใน|และ|ไม่|เป็น|มี|ได้|ให้|หลัง|มาก|ไป|กว่า|เกิน|ตอน|ก่อน|ดี|สอง|สาม|พอดี|ถนัด|ออก|ง่าย|จับ")
+WINDOW, SHORT, PRIOR, STEPS = 50, 30.0, 50.0, 8
+FEATURES = ("density", "entropy", "repetition", "function")
+#: Quantile 0.975 of chi-square with 4 degrees of freedom, and how far towards spam a page must lie.
+OUTLIER, HALF_WAY = 11.14, 0.5
+#: The covariance of the closest half of a normal sample in 4 dimensions is too small by this factor.
+CONSISTENCY = 2.1
+#: Least deviation of each feature, below which differences say nothing.
+FLOOR = (0.05, 0.05, 0.05, 0.1)
+#: Pages of nothing but keywords (every second word a repetition) and of nothing but links; None is the language's centre.
+POLES = ((None, 0.7, 0.45, 0.0), (1.0, None, None, 0.0))
+
+# Frequent closed-class words (for scripts without spaces, particles).
+FUNCTION_WORDS = {
+    "ru": "и в во не на с со что а но по за из к у о от до для как так это то же бы или если чтобы при без под над мы он она они его её их мой весь все уже ещё был была нет",
+    "en": "the a an and or but if of to in on with for by at from as into after before than that this it its is are was were be has had not we i you he she they my our which who when while",
+    "de": "der die das den dem des ein eine einen einem und oder aber wenn dass von für in im auf mit zu zum zur an am aus bei nach vor über als wie so ist war hat ich wir sie er es nicht",
+    "hi": "यह वह ये का के की में से को ने पर और या है हैं था थी थे हो नहीं भी तो ही कि",
+    "ar": "من في على إلى عن مع هذا هذه التي الذي لا لم ما كان قد تم أن أو ثم بعد قبل هو هي",
+}
+PARTICLES = {
+    "zh": "的 了 是 在 和 不 有 也 都 就 很 我 这 那 没 会 到 说 着 过 把 被 让 比",
+    "ja": "は が の を に で と も へ から まで です ます した ない",
+    "th": "ที่ ใน และ ไม่ เป็น มี ได้ ให้ ไป มา จะ กับ แต่ หรือ แล้ว มาก กว่า นี้ จาก หลัง ก่อน ตอน",
+}
+_FUNCTION = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
+_OF = {k: frozenset(FUNCTION_WORDS[k].split()) for k in ("en", "de")}
+_PARTICLE = re.compile("|".join(sorted((w for v in PARTICLES.values() for w in v.split()), key=lambda w: (-len(w), w))))
 _NO_SPACES = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
-_LINK = re.compile(r"""<a\s[^>]*>|\]\([^)\s]*\)|(?:https?://|www\.)[^\s"'<>)\]]+|\b[a-z0-9][a-z0-9-]*\.(?:[a-z]{2,10}/[^\s"'<>)\]]*|(?:com|net|org|ru|info|biz|io|de|example|test|invalid)\b)""")
+_LINK = re.compile(r"""<a\s[^>]*>|\]\([^)\s]*\)|(?:https?://|www\.)[^\s"'<>)\]]+|\b[a-z0-9][a-z0-9-]*\.(?:[a-z]{2,}/[^\s"'<>)\]]*|[a-z]{2,}\b(?!\.\w))""")
 _TAG = re.compile(r"#\w+")
 _MARKUP = re.compile(r"</?[a-z][^>]*>|&[a-z#0-9]+;")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
 #: Letters with the vowel signs of Arabic, Devanagari and Thai, which aren't letters to ``re``.
-_WORD = re.compile(r"(?:[^\W\d_]|[ً-ٟऀ-ः़-ॏा-ॗ\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])+")
+_WORD = re.compile(r"(?:[^\W\d_]|[ً-ٟऀ-ः़-ॏा-ॗัิ-ฺ็-๎])+")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
-_DE = frozenset("der die das und ein eine nicht von für kam ist wurde sich".split())
-_SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[㐀-鿿]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("en", re.compile(r"[a-z]")))
+#: Where scripts begin, and which one; their letters count by the length of what they write.
+_BOUNDS = (0x61, 0x250, 0x400, 0x530, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x3040, 0x3100, 0x3400, 0xA000)
+_SCRIPTS = ("", "en", "", "ru", "", "ar", "", "hi", "", "th", "", "ja", "", "zh", "")
+_WEIGHT = {"ja": 4, "zh": 4}
+_PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def language_of(low: str, words: Counter) -> str:
+def language_of(words: Counter) -> str:
     """The language by most letters of a script, without a model; Latin is German or English by its function words."""
-    counts = [(len(p.findall(low)) * (4 if k in ("ja", "zh") else 1), k) for k, p in _SCRIPTS]
-    n, best = max(counts)
-    if not n:
+    sizes: dict[str, int] = {}
+    for w, n in words.items():
+        k = _SCRIPTS[bisect_right(_BOUNDS, ord(w[0]))]
+        if k:
+            sizes[k] = sizes.get(k, 0) + n * len(w) * _WEIGHT.get(k, 1)
+    if not sizes:
         return "none"
-    if best == "zh" and any(k == "ja" and c > n // 20 for c, k in counts):
+    best = max(sizes, key=lambda k: (sizes[k], k))
+    if best == "zh" and sizes.get("ja", 0) * 20 > sizes["zh"]:
         return "ja"
-    return "de" if best == "en" and sum(words[w] for w in _DE) > sum(words[w] for w in ("the", "a", "and", "of", "to", "in", "was")) else best
+    return "de" if best == "en" and sum(words[w] for w in _OF["de"]) > sum(words[w] for w in _OF["en"]) else best
 
 
-def features(text: str) -> tuple[str, int, float, float, float, float, float, float]:
-    """language, units (words, links, tags), the five features, and the share of letters outside running text."""
+def features(text: str) -> tuple[str, int, float, float, float, float]:
+    """Language, letters (with those of links, tags and numbers) and the four features."""
     low = text.translate(_INVISIBLE).lower()
-    links, tags = _LINK.findall(low), _TAG.findall(low)
+    links = _LINK.findall(low)
     rest = _LINK.sub(" ", low) if links else low
+    tags = _TAG.findall(rest)
     if tags:
         rest = _TAG.sub(" ", rest)
     if "<" in rest or "&" in rest:
-        rest = _MARKUP.sub("\n", rest)
-    packed = sum(map(len, links)) + sum(map(len, tags))
-    words, letters, bare, hits = [], 0, 0, 0
-    for piece in rest.split("\n"):
-        if not piece or piece.isspace():
-            continue
-        ws = _WORD.findall(piece)
-        n = sum(map(len, ws))
-        if not n:
-            continue
-        f = sum(w in FUNCTION_WORDS or w[:2] == "ال" for w in ws)
-        if _NO_SPACES.search(piece):
-            f += len(PARTICLES.findall(piece))
-            ws = [x for w in ws for x in ([w[i : i + 2] for i in range(0, len(w), 2)] if _NO_SPACES.search(w) else [w])]
-        words += ws
-        letters, hits = letters + n, hits + f
-        if f * STRETCH < n if n > STRETCH else f == 0:
-            bare += n
-    units = len(words) + len(links) + len(tags)
-    counts = Counter(words)
-    n = len(words)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(n) if n > 1 else 1.0
-    triples = n - 2
-    repetition = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / triples if triples > 0 else 0.0
-    total = max(1, packed + letters)
-    numbers = sum(map(len, _NUMBER.findall(rest)))
-    return language_of(_LINK.sub(" ", low) if links else low, counts), units, (packed + numbers) / (total + numbers), entropy, repetition, min(1.0, hits / max(1, n)), (packed + bare) / total, (packed + bare) / total
-
-
-_SCHEMA = "id bigint, lang string, units int, density double, entropy double, repetition double, function double, bare double, outside double"
+        rest = _MARKUP.sub(" ", rest)
+    packed = sum(map(len, links)) + sum(map(len, tags)) + sum(map(len, _NUMBER.findall(rest)))
+    ws = _WORD.findall(rest)
+    letters = sum(map(len, ws))
+    counts = Counter(ws)
+    hits = sum(n for w, n in counts.items() if w in _FUNCTION or w[:2] == "ال")
+    if _NO_SPACES.search(rest):
+        hits += len(_PARTICLE.findall(rest))
+        ws = [x for w in ws for x in ([w[i : i + 2] for i in range(0, len(w), 2)] if _NO_SPACES.match(w) else [w])]
+    ws += tags
+    n, found, most, again = len(ws), 0.0, 0.0, 0
+    for s in range(0, n, WINDOW):
+        c = Counter(ws[s : s + WINDOW])
+        k = min(WINDOW, n - s)
+        found += k * math.log2(k) - sum(map(_PLOGP.__getitem__, c.values()))
+        most += k * math.log2(k)
+        again += k - len(c)
+    size = packed + letters
+    return language_of(counts), size, packed / max(1, size), found / most if most else 1.0, again / max(1, n), min(1.0, 5 * hits / max(1, size))
+
+
+_SCHEMA = "id bigint, lang string, size int, density double, entropy double, repetition double, function double"
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = [(int(i), *features(t)) for i, t in zip(b["id"], b["text"], strict=True)]
-        yield pd.DataFrame(out, columns=["id", "lang", "units", *FEATURES, "outside"])
+        yield pd.DataFrame(out, columns=["id", "lang", "size", *FEATURES])
 
 
 def document_features(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,59 +135,91 @@ def document_features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0").mapInPandas(_rows, _SCHEMA)
 
 
-def _moments(df: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+Fit = tuple[np.ndarray, np.ndarray]  # centre and inverse scatter
+
+
+def _by_language(fits: dict[str, Fit], make) -> F.Column:
+    out = F.lit(None).cast("double")
+    for lang, fit in fits.items():
+        out = F.when(F.col("lang") == lang, make(*fit)).otherwise(out)
+    return out
+
+
+def _deviations(m: np.ndarray) -> list:
+    return [F.col(f) - F.lit(float(c)) for f, c in zip(FEATURES, m, strict=True)]
+
+
+def distance2(fits: dict[str, Fit]):
+    """The squared Mahalanobis distance of a row from its language's centre, as an expression of the JVM."""
+
+    def form(m: np.ndarray, inv: np.ndarray):
+        x = _deviations(m)
+        return sum((x[i] * x[j] * float(inv[i, j] * (1 if i == j else 2)) for i in range(len(x)) for j in range(i, len(x))), F.lit(0.0))
+
+    return _by_language(fits, form)
+
+
+def spam_side(fits: dict[str, Fit]):
+    """How far a row lies towards the closer pole: 0 at the language's centre, 1 at a page of spam only."""
+
+    def place(m: np.ndarray, inv: np.ndarray):
+        x, sides = _deviations(m), []
+        for pole in POLES:
+            to = np.array([0.0 if p is None else p - c for p, c in zip(pole, m, strict=True)])
+            along = inv @ to / max(float(to @ inv @ to), 1e-12)
+            sides.append(sum((xi * float(v) for xi, v in zip(x, along, strict=True)), F.lit(0.0)))
+        return F.greatest(*sides)
+
+    return _by_language(fits, place)
+
+
+def _moments(rows: DataFrame) -> dict[str, Fit]:
+    """Centre and inverse scatter of each language's ``rows``, drawn to those of all by PRIOR rows."""
     k = len(FEATURES)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    rows = df.groupBy("lang").agg(
+    sums = rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i, j in pairs)
     ).collect()  # a row a language
-    out, sums = {}, []
-    for r in rows:
-        s, q = np.array([r[f"s{i}"] for i in range(k)]), np.zeros((k, k))
+    got = {}
+    for r in sums:
+        q = np.zeros((k, k))
         for i, j in pairs:
             q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-        sums.append((r["lang"], r["n"], s, q))
-    every = ("", sum(x[1] for x in sums), sum((x[2] for x in sums), np.zeros(k)), sum((x[3] for x in sums), np.zeros((k, k))))
-    for lang, n, s, q in [*sums, every]:
-        if n:
-            m = s / n
-            out[lang] = (n, m, q / n - np.outer(m, m) + np.eye(k) * 1e-4)
-    return {x: (y if y[0] >= MIN_DOCS else out[""]) for x, y in out.items()}
-
-
-def _with_distance(df: DataFrame, fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Adds ``d2``, the squared distance, and ``side``, how far it lies to spam's side, as expressions of the JVM."""
-    d2, side = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang, (m, inv) in fits.items():
-        x = [F.col(f) - F.lit(float(c)) for f, c in zip(FEATURES, m, strict=True)]
-        form = sum((x[i] * x[j] * float(inv[i, j] * (1 if i == j else 2)) for i in range(len(x)) for j in range(i, len(x))), F.lit(0.0))
-        along = sum((xi * float(v) for xi, v in zip(x, np.array(SPAM_SIDE) * np.sqrt(np.diag(inv)), strict=True)), F.lit(0.0))
-        d2, side = F.when(F.col("lang") == lang, form).otherwise(d2), F.when(F.col("lang") == lang, along).otherwise(side)
-    return df.withColumn("d2", d2).withColumn("side", side)
-
-
-def robust_fits(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language, centre and inverse scatter after two concentration steps."""
-    mids = feats.groupBy("lang").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f) for f in FEATURES)).collect()
-    spread = feats.join(F.broadcast(feats.sparkSession.createDataFrame([(r["lang"], *(float(r[f]) for f in FEATURES)) for r in mids], "lang string, " + ", ".join(f"m_{f} double" for f in FEATURES))), "lang")
-    mads = {r["lang"]: r for r in spread.groupBy("lang").agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 1000).alias(f) for f in FEATURES)).collect()}
-    fits = {r["lang"]: (np.array([r[f] for f in FEATURES]), np.diag([1 / max(1.4826 * mads[r["lang"]][f], 0.01) ** 2 for f in FEATURES])) for r in mids}
-    for _ in range(2):
-        near = _with_distance(feats, fits)
-        cuts = {r["lang"]: r["c"] for r in near.groupBy("lang").agg(F.percentile_approx("d2", KEPT, 1000).alias("c")).collect()}
-        cut = F.lit(None).cast("double")
-        for lang, c in cuts.items():
-            cut = F.when(F.col("lang") == lang, F.lit(float(c))).otherwise(cut)
-        moments = _moments(near.filter(F.col("d2") <= cut))
-        # the kept part is narrower than the whole; at five dimensions and three quarters its variance is about 0.7 of it
-        fits = {x: (moments.get(x, moments[""])[1], np.linalg.inv(moments.get(x, moments[""])[2] / 0.7)) for x in fits}
+        got[r["lang"]] = (r["n"], np.array([r[f"s{i}"] for i in range(k)]), q)
+    n = sum(x[0] for x in got.values())
+    mean, second = sum(x[1] for x in got.values()) / n, sum(x[2] for x in got.values()) / n
+    out = {}
+    for lang, (c, s, q) in got.items():
+        if lang == "none":  # no word outside links and tags, so no language: the figures of all
+            c, s, q = 0, 0.0, 0.0
+        m = (s + PRIOR * mean) / (c + PRIOR)
+        scatter = (q + PRIOR * second) / (c + PRIOR) - np.outer(m, m)
+        out[lang] = (m, np.linalg.inv(scatter * CONSISTENCY + np.diag(np.square(FLOOR))))
+    return out
+
+
+def robust_fits(feats: DataFrame) -> dict[str, Fit]:
+    """Per language, centre and inverse scatter of its closest half, after at most STEPS concentration steps."""
+    middle = lambda c, name: F.percentile_approx(c, 0.5, 1000).alias(name)
+    mids = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in feats.groupBy("lang").agg(*(middle(f, f) for f in FEATURES)).collect()}
+    away = [_by_language({k: (m, None) for k, m in mids.items()}, lambda m, _, i=i: F.abs(_deviations(m)[i])) for i in range(len(FEATURES))]
+    mads = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in feats.groupBy("lang").agg(*(middle(a, f) for a, f in zip(away, FEATURES, strict=True))).collect()}
+    fits = {k: (m, np.diag(1 / np.maximum(np.square(1.4826 * mads[k]), np.square(FLOOR)))) for k, m in mids.items()}
+    for _ in range(STEPS):
+        near = feats.withColumn("d2", distance2(fits))
+        cuts = {r["lang"]: r["c"] for r in near.groupBy("lang").agg(F.percentile_approx("d2", 0.5, 1000).alias("c")).collect()}
+        before, fits = fits, _moments(near.filter(F.col("d2") <= _by_language({k: (c, None) for k, c in cuts.items()}, lambda c, _: F.lit(float(c)))))
+        if max(np.abs(fits[k][0] - before[k][0]).max() for k in fits) < 1e-3:
+            break
     return fits
 
 
 def spam_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, lang, units, features, outside, d2, side, is_spam`` of every document with a text."""
+    """``id, lang, size, features, d2, side, is_spam`` of every document with a text."""
     feats = cut_lineage(document_features(docs, key, text))
     if feats.isEmpty():
         return feats.selectExpr("*", "0D AS d2", "0D AS side", "false AS is_spam")
-    scored = _with_distance(feats, robust_fits(feats))
-    return scored.withColumn("is_spam", (F.col("units") >= MIN_UNITS) & (F.col("d2") > OUTLIER) & (F.col("side") > 0) & (F.col("outside") > GREATER_PART))
+    fits = robust_fits(feats)
+    known = F.col("size") / (F.col("size") + SHORT)
+    scored = feats.withColumn("d2", distance2(fits) * known * known).withColumn("side", spam_side(fits) * known)
+    return scored.withColumn("is_spam", (F.col("d2") > OUTLIER) & (F.col("side") >= HALF_WAY))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opinionframe.llm.mixing import kind_key, language_key, mixture, mixture_report, rake, source_key
 from opinionframe.llm.packing import best_fit, local_search, pack, pack_summary, packs
+from opinionframe.llm import spam as spam_module
 from opinionframe.llm.sentences import sentences, split
 from opinionframe.llm.spam import features, spam_scores
 from opinionframe.llm.tokens import with_token_counts
@@ -137,3 +138,32 @@ def test_spam_among_plain_pages(spark):
     assert got == set(range(len(SPAM)))
     assert spam_scores(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
     assert features("de​al")[0] == "en" and features("")[1] == 0
+
+
+@pytest.mark.parametrize("share", [0.33, 0.45])
+def test_spam_that_is_much_of_a_language(spark, share):
+    rng = random.Random(9)
+    plain = [" ".join(rng.sample(PLAIN[:1] + ["Из плюсов, стул не шатается и за эти деньги это очень хорошо.", "На мой вкус, цвет чуть другой, но мы довольны и после ремонта.", "Вес был не указан, а в магазине так и не ответили.", "Для кухни это то, что надо, и не без причины."], 3)) for _ in range(300)]
+    words = "купить хит набор цена чехол термос скидка доставка".split()
+    spam = [" ".join(rng.choice(words) for _ in range(rng.randint(40, 90))) for _ in range(int(300 * share / (1 - share)))]
+    rows = [(i, t) for i, t in enumerate(plain + spam)]
+    got = {r.id for r in spam_scores(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").filter("is_spam").collect()}
+    assert got == set(range(300, len(rows)))
+
+
+def test_few_documents_are_judged_too(spark):
+    rows = [(i, PLAIN[i % 2]) for i in range(6)] + [(6, SPAM[0]), (7, None)]
+    assert {r.id for r in spam_scores(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").filter("is_spam").collect()} == {6}
+
+
+def test_distance_and_side_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    m, a = rng.normal(size=4), rng.normal(size=(4, 4))
+    fits = {"x": (m, a @ a.T + np.eye(4))}
+    x = rng.normal(size=(20, 4))
+    df = spark.createDataFrame([("x", *map(float, r)) for r in x], "lang string, " + ", ".join(f"{f} double" for f in spam_module.FEATURES))
+    got = [(r.d, r.s) for r in df.select(spam_module.distance2(fits).alias("d"), spam_module.spam_side(fits).alias("s")).collect()]
+    inv = fits["x"][1]
+    to = [np.array([0.0 if p is None else p - c for p, c in zip(pole, m)]) for pole in spam_module.POLES]
+    for r, (d, s) in zip(x, got):
+        assert abs(d - (r - m) @ inv @ (r - m)) < 1e-9 and abs(s - max((r - m) @ inv @ t / (t @ inv @ t) for t in to)) < 1e-9
