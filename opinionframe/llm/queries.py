@@ -74,7 +74,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Every cluster with its size, its number of wordings and its three most typical phrases."""
     rows = _phrases(spark, d).filter("cluster IS NOT NULL AND n > 0")
-    first = Window.partitionBy("cluster").orderBy(F.col("n").desc(), "text")
+    first = Window.partitionBy("cluster").orderBy(F.col("typicality").desc(), F.col("n").desc(), "text")
     top = rows.withColumn("r", F.row_number().over(first)).filter("r <= 3").groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), " / ").alias("typical"))
     return rows.groupBy("cluster").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_wordings"), F.min("name_id").alias("cluster_id")).join(top, "cluster")
 

@@ -110,10 +110,11 @@ def test_linkage_equals_a_sequential_one(spark):
         e = merged
     want = {frozenset(n for n in nodes if names[n] == c) for c in names.values()}
     df = spark.createDataFrame([(a, b, s, w) for (a, b), (s, w) in edges.items()], "a string, b string, s double, w double")
-    got = {}
-    for r in average_linkage(spark.createDataFrame([(n,) for n in nodes], "node string"), df, 0.7).collect():
-        got.setdefault(r.cluster, set()).add(r.node)
-    assert {frozenset(v) for v in got.values()} == want and all(min(v) == k for k, v in got.items())
+    for local in (0, 20_000):  # in rounds over the executors, and in tasks
+        got = {}
+        for r in average_linkage(spark.createDataFrame([(n,) for n in nodes], "node string"), df, 0.7, local_edges=max(1, local)).collect():
+            got.setdefault(r.cluster, set()).add(r.node)
+        assert {frozenset(v) for v in got.values()} == want and all(min(v) == k for k, v in got.items())
 
 
 def test_phrases_find_their_cluster_in_any_wording(spark):

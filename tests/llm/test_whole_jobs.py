@@ -7,26 +7,51 @@ import numpy as np
 import pytest
 
 from opinionframe.llm import clusters as cl
+from opinionframe.llm import near_dup
 from opinionframe.llm.packing import best_fit, pack
 
 
+def _alike(a, b, n):
+    """Whether two items of one word beside "zzz" are neighbours, and how similar they are."""
+    s = cl.word_similarity(a, b, min(n[a], n[b]) / max(n[a], n[b]))
+    return (1 + s) / 2 if cl.deletions(a) & cl.deletions(b) and s >= cl.WORD_LEAST else None
+
+
 @pytest.mark.parametrize("block", [2000, 2])
 def test_items_are_linked_to_all_of_their_key(spark, monkeypatch, block):
-    monkeypatch.setattr(cl, "BLOCK", block, raising=False)
-    items = spark.createDataFrame([("kamera lift", 50), ("kamesa lift", 40), ("kameta lift", 1)], "item string, n long")
-    words = spark.createDataFrame([("kamera", 60), ("kamesa", 800), ("kameta", 10), ("lift", 900)], "w string, n long")
-    assert {(r.a, r.b, r.w) for r in cl.item_graph(items, words).collect()} == {("kamera lift", "kamesa lift", 2000.0), ("kamesa lift", "kameta lift", 40.0)}
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(1)
     n = {"".join(w): rng.choice([1, 2, 5, 30, 300]) for w in itertools.islice(itertools.product("ab", "ab", "cd", "cd", "ef", "ef"), 64)}
-    items = spark.createDataFrame([(f"{w} zzz", k) for w, k in n.items()], "item string, n long")
+    items = spark.createDataFrame([(f"{w} zzz", f"{w} zzz", k) for w, k in n.items()], "item string, bag string, n long")
     words = spark.createDataFrame([*n.items(), ("zzz", 5000)], "w string, n long")
-    near = {(a, b) for a in n for b in n if a < b and max(n[a], n[b]) >= 8 * min(n[a], n[b]) and cl.deletions(a) & cl.deletions(b) and cl.item_similarity(f"{a} zzz", f"{b} zzz") > 0}
-    assert {(r.a.split()[0], r.b.split()[0]) for r in cl.item_graph(items, words).collect()} == near and near
+    want = {(a, b): _alike(a, b, n) for a in n for b in n if a < b and _alike(a, b, n) is not None}
+    got = {(r.a.split()[0], r.b.split()[0]): (r.s, r.w) for r in cl.item_graph(items, words).collect()}
+    assert got.keys() == want.keys() and want and all(abs(got[k][0] - s) < 1e-9 and got[k][1] == n[k[0]] * n[k[1]] for k, s in want.items())
+
+
+def test_wordings_of_the_same_stems_are_linked(spark):
+    items = spark.createDataFrame([("kamera tikhaya", "kamer tikh", 5), ("kamery tikhoy", "kamer tikh", 2), ("kameru tikhuyu", "kamer tikh", 1), ("kameera tikhaya", "kameer tikh", 1)], "item string, bag string, n long")
+    words = spark.createDataFrame([("kamer", 90), ("kameer", 1), ("tikh", 20)], "w string, n long")
+    got = {(r.a, r.b): (round(r.s, 2), r.w) for r in cl.item_graph(items, words).collect()}
+    assert got == {("kamera tikhaya", "kamery tikhoy"): (1.0, 16.0), ("kamera tikhaya", "kameru tikhuyu"): (1.0, 8.0), ("kameera tikhaya", "kamera tikhaya"): (round((1 + 1 - (1 + 4 / 90) / 6) / 2, 2), 8.0)}
+
+
+def test_optional_runs_are_learned(spark):
+    base = [f"{q} {t}" for q in ("дымная", "тихая", "вялая", "мутная") for t in ("веранда", "камера", "кнопка")]
+    rows = base + [f"весьма {x}" for x in base[:6]] + [f"{x} возле окна" for x in base[3:9]] + ["тихая веранда сломалась", "сломалась камера опять", "сломалась кнопка опять", "сломалась веранда опять"]
+    items, _ = cl.phrase_items(spark.createDataFrame([(x, 1) for x in rows], "text string, n long"))
+    bag = {r.text: r.bag for r in items.collect()}
+    assert bag["весьма дымная веранда"] == bag["дымная веранда"] and bag["тихая веранда возле окна"] == bag["тихая веранда"] and bag["сломалась камера опять"].count(" ") == 2
+    assert cl.left_after(["a", "b", "c"], {"a", "b"}) == [0, 1, 2] and cl.left_after(["a", "b", "c"], {"a"}) == [1, 2]
 
 
-def test_stems_are_corrected_past_an_unlike_heavier_one(spark):
-    words = spark.createDataFrame([("abcdef", 1), ("cdabef", 1000), ("abxyef", 300), ("qwertyu", 1), ("qwertyi", 10), ("qwertoi", 200)], "w string, n long")
-    assert {r.w: r.to for r in cl._corrections(words).collect()} == {"abcdef": "abxyef", "qwertyu": "qwertoi", "qwertyi": "qwertoi"}
+def test_without_the_graph_wordings_stay_apart(spark, monkeypatch):
+    named = spark.createDataFrame([(1, "тихая камера")], "name_id int, phrase string")
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(["тихой камеры", "камеру тихую", "тихая камера", "тхая камера"] * 3 + ["тихая камера"] * 9)], "candidate_id string, text string")
+    assert {r.text for r in cl.phrase_clusters(df, named).filter("name_id = 1").collect()} == {"тихой камеры", "камеру тихую", "тихая камера", "тхая камера"}
+    graph = cl.item_graph
+    monkeypatch.setattr(cl, "item_graph", lambda items, words: graph(items, words).limit(0))
+    assert {r.text for r in cl.phrase_clusters(df, named).filter("name_id = 1").collect()} == {"тихая камера"}
 
 
 def test_bins_over_half_full_are_emptied_too():
