@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opinionframe.llm.canonical import match_values
 from opinionframe.llm.clusters import phrase_clusters
-from opinionframe.llm.mixing import kind_key, language_key, mixture, mixture_report, source_key
+from opinionframe.llm.mixing import language_key, marginal_report, mixture, mixture_report, source_key
 from opinionframe.llm.near_dup import class_links, linked_ids, near_duplicate_documents, text_classes
 from opinionframe.llm.packing import pack_summary, packs
 from opinionframe.llm.sentences import sentences
@@ -107,19 +107,27 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return pack_summary(p7_packs(spark, d), _capacities(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
+def _sized_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with their size, source, language and topic: the category of the product they are about."""
     docs = table(spark, d, "documents")
-    keep = [F.col("doc_id").alias("id"), source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), kind_key(F.col("text")).alias("kind"), F.md5("text").alias("text_key")]
-    return mixture(with_token_counts(docs, "text", keep), table(spark, d, "source_targets"))
+    keep = [F.col("doc_id").alias("id"), source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), "nm_id", F.md5("text").alias("text_key")]
+    category = table(spark, d, "reviews").filter("nm_id <> 0 AND category IS NOT NULL").groupBy("nm_id").agg(F.min("category").alias("topic"))
+    return cut_lineage(skew_join(cut_lineage(with_token_counts(docs, "text", keep)), category, "nm_id").drop("nm_id"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+    return mixture(_sized_texts(spark, d), table(spark, d, "source_targets")).withColumnRenamed("id", "doc_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixture_report(cut_lineage(_mixed(spark, d)), table(spark, d, "source_targets"))
+    targets = table(spark, d, "source_targets")
+    return mixture_report(cut_lineage(mixture(_sized_texts(spark, d), targets)), targets)
 
 
-QUERIES = {"p7_packs": p7_packs, "p7_summary": p7_summary, "p8_mixture": p8_mixture, "p8_report": p8_report, "p2_found": p2_found, "p2_sentences": p2_sentences, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets = _sized_texts(spark, d), table(spark, d, "source_targets")
+    return marginal_report(cut_lineage(mixture(sized, targets)), sized, targets)
+
+
+QUERIES = {"p7_packs": p7_packs, "p7_summary": p7_summary, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_marginals": p8_marginals, "p2_found": p2_found, "p2_sentences": p2_sentences, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionframe.llm.mixing import kind_key, language_key, mixture, mixture_report, rake, source_key
+from opinionframe.llm.mixing import language_key, marginal_report, mixture, mixture_report, rake, source_key
 from opinionframe.llm.packing import best_fit, local_search, pack, pack_summary, packs
 from opinionframe.llm import spam as spam_module
 from opinionframe.llm.sentences import sentences, split
@@ -108,16 +108,27 @@ def test_raking_meets_shares_and_caps():
 
 def test_mixture_of_a_table(spark):
     rng = random.Random(7)
-    rows = [(i, rng.choice([" A", "a", "B", "c", None]), rng.choice(["ru", "EN", None]), rng.choice(["prose", "list"]), f"t{i % 900}", 10 + (i % 900) % 50) for i in range(1000)]
-    sized = spark.createDataFrame(rows, "id long, source string, lang string, kind string, text_key string, n_tokens long").select("id", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), "kind", "text_key", "n_tokens")
+    rows = [(i, rng.choice([" A", "a", "B", "c", None]), rng.choice(["ru", "EN", None]), rng.choice(["prose", "list", None]), f"t{i % 900}", 10 + (i % 900) % 50) for i in range(1000)]
+    sized = spark.createDataFrame(rows, "id long, source string, lang string, topic string, text_key string, n_tokens long").select("id", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), "topic", "text_key", "n_tokens")
     targets = spark.createDataFrame([("A", 0.5, 2), ("b ", 0.3, 3), ("gone", 0.2, 1)], "source string, target_share double, max_repeats int")
     mixed = mixture(sized, targets).cache()
     report = {r.source: r.asDict() for r in mixture_report(mixed, targets).collect()}
     assert abs(report["a"]["reached_share"] - 0.625) < 0.01 and abs(report["b"]["reached_share"] - 0.375) < 0.01 and report["gone"]["n_tokens"] == 0
     assert report["a"]["most_uses"] <= 2 and report["b"]["most_uses"] <= 3 and mixed.filter("source = 'c'").count() == 0
     assert mixture(sized.limit(0), targets).count() == 0
-    kinds = spark.createDataFrame([("Q: a\nA: b",), ("- a\n- b\n",), ("plain",)], "t string").select(kind_key(F.col("t")).alias("k")).collect()
-    assert [r.k for r in kinds] == ["questions", "list", "prose"]
+    shares = {(r.marginal, r.value): r for r in marginal_report(mixed, sized, targets).collect()}
+    assert abs(shares["topic", "prose"].reached_share - shares["topic", "prose"].goal_share) < 0.05 and ("topic", "unknown") in shares and ("lang", "other") in shares
+    keys = spark.createDataFrame([(" Gid-Mesta",), ("gid_mesta",), ("GID mesta ",)], "t string").select(source_key(F.col("t")).alias("k")).collect()
+    assert {r.k for r in keys} == {"gid_mesta"}
+
+
+def test_shares_are_met_with_few_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 2], rng.choice(["ru", "en", "de"]), rng.choice("xyz"), f"t{i}", rng.choice([20, 50, 90, 400])) for i in range(120)]
+    sized = spark.createDataFrame(rows, "id long, source string, lang string, topic string, text_key string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixture_report(mixture(sized, targets), targets).collect()}
+    assert abs(report["a"].reached_share - 0.7) < 0.01 and report["a"].most_uses <= 1 and report["b"].most_uses <= 2
 
 
 def test_token_counts(spark):
