@@ -1,7 +1,7 @@
 """Map freely typed values to a reference list by a prefix-filter set-similarity join.
 
 Every distinct value becomes one set of tokens per reading (look-alike letters undone; Latin text both as a
-transliteration and as typed on the wrong keyboard): the pairs of neighbouring letters within words and each word's first
+transliteration and as typed on the wrong keyboard; the parts beside a free-standing slash also alone): the pairs of neighbouring letters within words and each word's first
 letter, all in Latin. Tokens are ordered from rare to frequent over all values. Two sets of Jaccard at least t share a
 token within their first ``n - ceil(t n) + 1``, so only these rare prefixes are joined; the length filter and the
 positional filter cut the pairs further, Jaccard is computed exactly, and the best entry is kept. The join runs at a
@@ -31,17 +31,19 @@ from opinionframe.session import cut_lineage
 AROUND = frozenset({"аспект", "вроде", "бы", "aspekt", "vrode", "by"})
 _AROUND = re.compile(r"\b(?:" + "|".join(sorted(AROUND)) + r")\b[:,]?", re.I)
 HIGH, LOW, SURE, WORDS_ALIKE = 0.45, 0.28, 0.5, 0.6
+#: Up to so many names are broadcast (counted first).
+BROADCAST_NAMES = 20_000
 TOKENS = T.ArrayType(T.ArrayType(T.StringType()))
 
 
 def reading_words(text: str) -> list[list[str]]:
-    """The words of each reading, in Latin letters; what follows a free-standing slash is left out."""
-    bare = _AROUND.sub(" ", re.split(r"\s/\s", text)[0])
-    out = []
-    for r in tn.readings(bare):
-        ws = [tn.to_latin(w) for w in tn.words_of(r) if w not in AROUND]
-        if ws := [w for w in ws if w]:
-            out.append(ws)
+    """The words of each reading, in Latin letters; of a text with free-standing slashes also those of each part alone."""
+    parts, out = re.split(r"\s/\s", text), []
+    for part in [text, *parts] if len(parts) > 1 else [text]:
+        for r in tn.readings(_AROUND.sub(" ", part)):
+            ws = [tn.to_latin(w) for w in tn.words_of(r) if w not in AROUND]
+            if ws := [w for w in ws if w]:
+                out.append(ws)
     return out
 
 
@@ -103,14 +105,15 @@ def _prefix(df: DataFrame, t: float, tag: str) -> DataFrame:
     return kept.select(*(F.col(c).alias(f"{c}_{tag}") for c in kept.columns), F.posexplode("pre").alias(f"pos_{tag}", "tok"))
 
 
-def best_entries(values: DataFrame, entries: DataFrame, t: float) -> DataFrame:
+def best_entries(values: DataFrame, entries: DataFrame, t: float, few: bool = False) -> DataFrame:
     """``value, name, entry_id, jaccard``: for each value with an entry of Jaccard >= t the best one.
 
-    ``values``: value, toks, n (one row a reading); ``entries``: entry_id, name, toks, n. Tokens ordered alike.
+    ``values``: value, toks, n (one row a reading); ``entries``: entry_id, name, toks, n. Tokens ordered alike. ``few``
+    entries are sent to the values instead of meeting them by token.
     """
     v, r = _prefix(values.select("value", "toks", "n"), t, "v"), _prefix(entries.select("entry_id", "name", "toks", "n"), t, "r")
     need = F.ceil(t / (1 + t) * (F.col("n_v") + F.col("n_r")) - 1e-9)
-    pairs = v.join(r, "tok").filter(
+    pairs = v.join(F.broadcast(r) if few else r, "tok").filter(
         (F.col("n_r") >= t * F.col("n_v")) & (F.col("n_v") >= t * F.col("n_r"))
         & (1 + F.least(F.col("n_v") - F.col("pos_v") - 1, F.col("n_r") - F.col("pos_r") - 1) + F.least("pos_v", "pos_r") >= need)
     ).filter(F.element_at(F.array_intersect("pre_v", "pre_r"), 1) == F.col("tok"))
@@ -130,9 +133,10 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     distinct = values.select("value").filter("value IS NOT NULL").distinct().repartition(parts, "value")
     sets = cut_lineage(_sets(distinct, "value", ["value"]))
     rarity = tn.rarity_table(sets.select(F.explode("toks").alias("t")).select(F.crc32("t").alias("t")), "t")
-    sets = cut_lineage(_ordered(sets, rarity))
+    sets = cut_lineage(_ordered(sets, rarity).repartition(parts, "value"))
     names = cut_lineage(_ordered(_sets(entries.filter("name IS NOT NULL"), "name", ["entry_id", "name"]).filter("reading = 0"), rarity))
-    high = best_entries(sets, names, HIGH)
-    low = best_entries(sets.join(high.select("value"), "value", "left_anti"), names, LOW)
+    few = names.count() <= BROADCAST_NAMES
+    high = cut_lineage(best_entries(sets, names, HIGH, few))
+    low = best_entries(sets.join(high.select("value"), "value", "left_anti").repartition(parts, "value"), names, LOW, few)
     found = high.unionByName(low).withColumn("alike", F.when(F.col("jaccard") < SURE, _words_alike("value", "name")).otherwise(F.lit(1.0))).filter(F.col("alike") >= WORDS_ALIKE)
     return distinct.join(found.select("value", "entry_id", "jaccard"), "value", "left")
