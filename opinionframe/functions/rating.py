@@ -86,15 +86,22 @@ def error_type(g: Column, p: Column) -> Column:
     )
 
 
-def formulas(pe: Column, pn: Column, pc: Column, now: Column) -> dict[str, Column]:
-    """The calibration formulas that one hypothesis allows: the current rating, the expected rating, odds, and expansions."""
-    out = {"F0_current": clip(now), "F1_full_distribution": expected_rating(pe, pn, pc), "F4_diff": clip(3 + 2 * (pe - pc)), "F5_ratio": clip(3 + 2 * (pe - pc) / (pe + pc + EPS))}
+def formulas(pe: Column, pn: Column, pc: Column, ne: Column, nu: Column, nc: Column, now: Column) -> dict[str, Column]:
+    """The 25 calibration formulas from the entailment, neutrality and contradiction of the positive hypothesis (``pe, pn,
+    pc``), those of the negative one (``ne, nu, nc``) and the current rating. Null where an input is null."""
     name = lambda x: str(x).replace(".", "_")
-    out |= {f"F6_logratio_T{name(t)}": clip(1 + 4 / (1 + F.exp(-(F.log(pe + EPS) - F.log(pc + EPS)) / t))) for t in TEMPERATURES}
-    for a in TEMPERATURES:
-        x, y, z = F.pow(pe, F.lit(a)), F.pow(pc, F.lit(a)), F.pow(0.5 * pn, F.lit(a))
-        out[f"F8_power_alpha{name(a)}"] = clip((5 * x + 3 * z + y) / (x + y + z + EPS))
-    return out | {f"F9_expansion_gamma{name(g)}": clip(3 + g * (now - 3)) for g in GAMMAS}
+    up, down, mid = pe + nc, ne + pc, 0.5 * (pn + nu)
+
+    def balance(power: float) -> Column:
+        u, d, m = (F.pow(x, F.lit(power)) for x in (up, down, mid))
+        return clip((5 * u + 3 * m + d) / (u + d + m + EPS))
+
+    positive, negative = expected_rating(pe, pn, pc), expected_rating(nc, nu, ne)
+    out = {"F0_current": clip(now), "F1_pos_full_distribution": positive, "F2_neg_full_distribution": negative, "F3_avg_full_distribution": clip((positive + negative) / 2)}
+    out |= {"F4_dual_diff": clip(3 + 2 * (pe - ne)), "F5_dual_ratio": clip(3 + 2 * (pe - ne) / (pe + ne + EPS)), "F7_dual_full_nli": balance(1.0)}
+    out |= {f"F6_dual_logratio_T{name(t)}": clip(1 + 4 / (1 + F.exp(-(F.log(pe + EPS) - F.log(ne + EPS)) / t))) for t in TEMPERATURES}
+    out |= {f"F8_dual_full_nli_power_alpha{name(a)}": balance(a) for a in TEMPERATURES}
+    return out | {f"F9_center_expansion_gamma{name(g)}": clip(3 + g * (now - 3)) for g in GAMMAS}
 
 
 def length_trust(text: Column, slope: float = 0.8, middle: float = 4.0) -> Column:

@@ -20,11 +20,11 @@ def tokens(t: Column) -> Column:
 
 
 def clean_text(t: Column) -> Column:
-    """Literal \\n to a space, a space after punctuation, other marks dropped, white space collapsed."""
+    """Literal \\n to a space, a space after punctuation, a space for other marks, runs of white space to one space."""
     t = F.regexp_replace(t, r"\\n", " ")
-    t = F.regexp_replace(t, r"([.,!?;:])(?=[^\s])", "$1 ")
-    t = F.regexp_replace(t, r"(?U)[^\w\s.,!?;:-]", "")
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    t = F.regexp_replace(t, r"(?U)(?<=[.,!?;:])(?=[^\s\x{1c}-\x{1f}])", " ")
+    t = F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s\x{1c}-\x{1f}.,!?;:-]", " ")
+    return strip(F.regexp_replace(t, WHITE_SPACE + "{2,}", " "))
 
 
 def plain_sentences(t: Column) -> Column:

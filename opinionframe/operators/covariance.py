@@ -1,62 +1,64 @@
-"""Shrunken covariance of topics per product, and selection of varied items: iterative per group, so in Arrow batches."""
+"""Shrunken covariance of topics per product, and selection of varied items; all in the JVM.
+
+Nothing gathers a group in one task: the covariance is made of sums per pair of topics, which combine before the shuffle,
+and the selection keeps, for each item, only its greatest similarity to what is chosen so far.
+
+Defined results: null values and null vectors are left out; repeated rows of a row and topic are averaged; a null group is
+a group of the covariance and none of the selection; ties go to the smaller item; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Covariance shrunk to a multiple of the identity by the published optimal weight (population moments)."""
-    n, k = x.shape
-    c = x - x.mean(axis=0)
-    s = c.T @ c / n
-    mean = np.trace(s) / k
-    d2 = ((s - mean * np.eye(k)) ** 2).sum() / k
-    b2 = min(d2, (((c**2).T @ (c**2) / n) - s**2).sum() / k / n)
-    w = b2 / d2 if d2 > 0 else 0.0
-    return w * mean * np.eye(k) + (1 - w) * s
+from opinionframe.functions.vectors import dot, unit
+from opinionframe.operators.heavy_keys import skew_join
+from opinionframe.session import cut_lineage
 
 
 def topic_covariance(scores: DataFrame, group: str, row: str, topic: str, value: str, least_rows: int = 5) -> DataFrame:
-    """``group, topic_a, topic_b, cov`` in long form. Rows with one topic are left out, gaps take the topic's mean.
+    """``group, topic_a, topic_b, cov`` in long form, shrunk to a multiple of the identity by the published optimal weight.
 
-    Groups with fewer than ``least_rows`` rows get the topics' own variances (1 where there is one value). A group is a
-    product's reviewed topics; means per row are taken first, before the shuffle.
+    Rows (a review's topics) with one topic are left out; gaps take the topic's mean, so they add nothing to the sums.
+    Groups with fewer than ``least_rows`` such rows, or with a topic that none of them holds, get the topics' own
+    variances (1 where there is one value); groups with one topic give no rows.
     """
-    means = scores.groupBy(group, row, topic).agg(F.avg(value).alias("v")).filter("v IS NOT NULL")
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=row, columns=topic, values="v").sort_index()
-        names = list(wide.columns)
-        full = wide[wide.notna().sum(axis=1) >= 2]
-        if len(full) >= least_rows:
-            full = full.dropna(axis=1, how="all")
-            names = list(full.columns)
-            c = ledoit_wolf(full.fillna(full.mean()).to_numpy())
-        else:
-            c = np.diag([float(wide[t].var(ddof=0)) if wide[t].notna().sum() > 1 else 1.0 for t in names])
-        return pd.DataFrame([(key[0], a, b, float(c[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], columns=[group, "topic_a", "topic_b", "cov"])
-
-    kind = dict(scores.dtypes)[group]
-    return means.groupBy(group).applyInPandas(one, f"`{group}` {kind}, topic_a string, topic_b string, cov double")
+    g = F.coalesce(F.col(group).cast("string"), F.lit("\0")).alias("g")
+    means = cut_lineage(scores.select(g, F.col(group).alias("name"), F.col(row).alias("r"), F.col(topic).alias("t"), value).groupBy("g", "name", "r", "t").agg(F.avg(value).alias("v")).filter("v IS NOT NULL AND t IS NOT NULL"))
+    topics = means.groupBy("g", "t").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("c"), F.var_pop("v").alias("var"))
+    several = means.groupBy("g", "r").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").select("g", "r")
+    full = means.join(several, ["g", "r"])
+    rows = several.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    centre = full.groupBy("g", "t").agg(F.avg("v").alias("m"))
+    centred = cut_lineage(full.join(centre, ["g", "t"]).select("g", "r", "t", (F.col("v") - F.col("m")).alias("x")))
+    other = centred.select("g", "r", F.col("t").alias("u"), F.col("x").alias("y"))
+    sums = centred.join(other, ["g", "r"]).groupBy("g", "t", "u").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.sum(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("q"))
+    sizes = topics.groupBy("g").agg(F.count(F.lit(1)).alias("k")).join(centre.groupBy("g").agg(F.count(F.lit(1)).alias("held")), "g", "left").join(rows, "g", "left").filter("k >= 2")
+    dense = (F.col("n") >= least_rows) & (F.col("held") == F.col("k"))
+    grid = topics.join(topics.select("g", F.col("t").alias("u")), "g").join(sizes.withColumn("dense", F.coalesce(dense, F.lit(False))), "g").join(sums, ["g", "t", "u"], "left")
+    same = F.col("t") == F.col("u")
+    cell = grid.select("g", "name", "t", "u", "k", "n", "dense", F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("s"), F.coalesce(F.col("q") / F.col("n"), F.lit(0.0)).alias("q"), F.when(same, F.when(F.col("c") > 1, F.col("var")).otherwise(1.0)).otherwise(0.0).alias("own"))
+    mean = cell.filter("dense").groupBy("g").agg(F.sum(F.when(same, F.col("s")).otherwise(0.0)).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("q") - F.col("s") * F.col("s")).alias("noise"), F.first("k").alias("k"), F.first("n").alias("n"))
+    d2 = (F.col("ss") - F.col("trace") * F.col("trace") / F.col("k")) / F.col("k")
+    shrink = mean.select("g", (F.col("trace") / F.col("k")).alias("mean"), F.when(d2 > 1e-15, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("noise") / F.col("k") / F.col("n") / d2))).otherwise(0.0).alias("w"))
+    cov = F.when(F.col("dense"), F.col("w") * F.when(same, F.col("mean")).otherwise(0.0) + (1 - F.col("w")) * F.col("s")).otherwise(F.col("own"))
+    return cell.join(shrink, "g", "left").select(F.col("name").alias(group), F.col("t").alias("topic_a"), F.col("u").alias("topic_b"), cov.alias("cov"))
 
 
 def varied_selection(items: DataFrame, group: str, item: str, vec: str, score: str, k: int = 5, weight: float = 0.6) -> DataFrame:
-    """``group, item, pick``: up to ``k`` items a group by maximal marginal relevance; ties keep the smaller item."""
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([item]).reset_index(drop=True)
-        v = np.stack(pdf[vec].to_numpy()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        sim, rel, chosen = v @ v.T, pdf[score].to_numpy(float), []
-        while len(chosen) < min(k, len(pdf)):
-            gain = weight * rel - (1 - weight) * sim[:, chosen].max(axis=1) if chosen else rel.copy()
-            gain[chosen] = -np.inf
-            chosen.append(int(np.argmax(gain)))
-        return pd.DataFrame({group: key[0], item: pdf[item].iloc[chosen].to_numpy(), "pick": range(1, len(chosen) + 1)})
-
-    t = dict(items.dtypes)
-    return items.filter(F.col(vec).isNotNull() & F.col(score).isNotNull()).groupBy(group).applyInPandas(one, f"`{group}` {t[group]}, `{item}` {t[item]}, pick int")
+    """``group, item, pick``: up to ``k`` items a group by maximal marginal relevance; ties keep the smaller item.
+
+    Each of the ``k`` rounds finds every group's best item by an aggregate and sends it to the group's other items.
+    """
+    state = cut_lineage(items.filter(F.col(vec).isNotNull() & F.col(score).isNotNull() & F.col(group).isNotNull()).select(group, item, unit(F.col(vec)).alias("v"), F.col(score).cast("double").alias("rel"), F.lit(None).cast("double").alias("near")))
+    out = None
+    for i in range(1, k + 1):
+        gain = F.when(F.col("near").isNull(), F.col("rel")).otherwise(weight * F.col("rel") - (1 - weight) * F.col("near"))
+        best = cut_lineage(state.groupBy(group).agg(F.min(F.struct((-F.round(gain, 12)).alias("g"), F.col(item).alias("i"), F.col("v").alias("v"))).alias("b")).select(group, F.col("b.i").alias("chosen"), F.col("b.v").alias("w")))
+        picked = best.select(group, F.col("chosen").alias(item), F.lit(i).alias("pick"))
+        out = picked if out is None else out.unionByName(picked)
+        if i < k:
+            met = skew_join(state, best, group, how="inner").filter(F.col(item) != F.col("chosen"))
+            state = cut_lineage(met.select(group, item, "v", "rel", F.greatest(F.coalesce("near", F.lit(-2.0)), dot(F.col("v"), F.col("w"))).alias("near")))
+    return out

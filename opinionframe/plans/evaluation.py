@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from opinionframe.functions import vectors as V
 from opinionframe.operators.covariance import topic_covariance, varied_selection
-from opinionframe.plans.base import PAIRS_SQL, counted, sql_plan
+from opinionframe.operators.ranks import value_ranks
+from opinionframe.plans.base import PAIRS_SQL, counted, pairs, sql_plan
 from opinionframe.plans.ratings import _ENRICHED, _VEC
 from opinionframe.session import table
 from opinionframe.streaming.events import first_deliveries, running_scores, session_totals, windowed_totals
@@ -43,9 +44,19 @@ _same("b12_hypothesis_kind", "SELECT kind, count(*) AS n FROM (SELECT DISTINCT p
 _same("c3_validated_one_to_one", "WITH a AS (SELECT prediction_id, max(final_rating) AS model FROM nli_predictions GROUP BY prediction_id), b AS (SELECT prediction_id, max(system_rating) AS audit FROM system_decisions GROUP BY prediction_id) SELECT a.prediction_id, model, audit, round(model - audit, 6) AS delta FROM a JOIN b ON a.prediction_id = b.prediction_id")
 _same("c13_sentence_of_span", "WITH c AS (SELECT DISTINCT chunk_id, review_id, tok_start AS a, tok_end AS b FROM parsed_chunks) SELECT x.chunk_id, count(*) AS n_inside FROM c x JOIN c y ON x.review_id = y.review_id AND y.a >= x.a AND y.a < x.b GROUP BY x.chunk_id")
 _same("g6_removed_predictions", "WITH base AS (SELECT DISTINCT prediction_id FROM nli_predictions), kept AS (SELECT DISTINCT prediction_id FROM nli_predictions WHERE passed_relevance_filter), s AS (SELECT prediction_id, max(upper(trim(manual_decision))) AS dec FROM system_decisions GROUP BY prediction_id) SELECT coalesce(s.dec, 'NONE') AS dec, count(*) AS n FROM base LEFT JOIN s ON s.prediction_id = base.prediction_id WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.prediction_id = base.prediction_id) GROUP BY 1")
-_same("k22_rank_auc", PAIRS_SQL + """, x AS (SELECT pe, CASE WHEN gold >= 4 THEN 1 ELSE 0 END AS y FROM pairs WHERE pe IS NOT NULL),
-r AS (SELECT y, rank() OVER (ORDER BY pe) + (count(*) OVER (PARTITION BY pe) - 1) / 2e0 AS rk FROM x)
-SELECT count(*) AS n, round((sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc FROM r""")
+def k_rank_auc(spark: SparkSession, d: str) -> DataFrame:
+    """ROC-AUC of the entailment score for good ratings and its Mann-Whitney U, from mean ranks of distinct scores."""
+    x = pairs(spark, d).filter("pe IS NOT NULL").select("pe", F.when(F.col("gold") >= 4, 1).otherwise(0).alias("y"))
+    r = value_ranks(x, "pe", pos=F.col("y"))
+    t = r.agg(F.sum("n").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("pos") * F.col("avg_rank")).alias("s"))
+    u = F.col("s") - F.col("p") * (F.col("p") + 1) / 2
+    both = F.col("p") * (F.col("n") - F.col("p"))
+    return t.select("n", F.col("p").alias("n_positive"), F.round(F.when(both > 0, u / both), 6).alias("auc"), F.round(u, 3).alias("mann_whitney_u"))
+
+
+_add("k22_rank_auc", k_rank_auc, PAIRS_SQL + """, x AS (SELECT pe, CASE WHEN gold >= 4 THEN 1 ELSE 0 END AS y FROM pairs WHERE pe IS NOT NULL),
+r AS (SELECT y, rank() OVER (ORDER BY pe) + (count(*) OVER (PARTITION BY pe) - 1) / 2e0 AS rk FROM x), s AS (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS p, sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1) / 2e0 AS u FROM r)
+SELECT n, p AS n_positive, round(u / nullif(p * (n - p), 0), 6) AS auc, round(u, 3) AS mann_whitney_u FROM s""")
 
 
 def k_cohesion(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +67,16 @@ def k_cohesion(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("k14_cohesion", k_cohesion, "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.label, (SELECT count(*) FROM e c WHERE c.label = a.label) AS n, round(avg(list_cosine_similarity(a.v, b.v)), 5) AS cohesion FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label")
-_add("d4_topic_covariance", lambda s, d: topic_covariance(table(s, d, "nli_predictions").filter("passed_relevance_filter AND review_id IS NOT NULL AND nm_id <> 0"), "nm_id", "review_id", "aspect_name", "final_rating").withColumn("cov", F.round("cov", 6)), None)
+_add("d4_topic_covariance", lambda s, d: topic_covariance(table(s, d, "nli_predictions").filter("passed_relevance_filter AND review_id IS NOT NULL"), "nm_id", "review_id", "aspect_name", "final_rating").withColumn("cov", F.round("cov", 5)), """
+WITH m AS (SELECT nm_id, review_id AS r, aspect_name AS t, avg(final_rating) AS v FROM nli_predictions WHERE passed_relevance_filter AND review_id IS NOT NULL AND final_rating IS NOT NULL AND aspect_name IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT nm_id, t, CASE WHEN count(*) > 1 THEN var_pop(v) ELSE 1 END AS own FROM m GROUP BY nm_id, t), f AS (SELECT m.* FROM m JOIN (SELECT nm_id, r FROM m GROUP BY nm_id, r HAVING count(*) >= 2) s ON s.nm_id IS NOT DISTINCT FROM m.nm_id AND s.r = m.r),
+z AS (SELECT nm_id, count(*) AS k FROM t GROUP BY nm_id), h AS (SELECT nm_id, count(DISTINCT r) AS n, count(DISTINCT t) AS held FROM f GROUP BY nm_id),
+g AS (SELECT a.nm_id, a.t AS ta, b.t AS tb, a.own, z.k, h.n, coalesce(h.n >= 5 AND h.held = z.k, false) AS dense FROM t a JOIN t b ON a.nm_id IS NOT DISTINCT FROM b.nm_id JOIN z ON z.nm_id IS NOT DISTINCT FROM a.nm_id LEFT JOIN h ON h.nm_id IS NOT DISTINCT FROM a.nm_id WHERE z.k >= 2),
+c AS (SELECT nm_id, r, t, v - avg(v) OVER (PARTITION BY nm_id, t) AS x FROM f), p AS (SELECT a.nm_id, a.t AS ta, b.t AS tb, sum(a.x * b.x) AS s, sum(a.x * a.x * b.x * b.x) AS q FROM c a JOIN c b ON a.nm_id IS NOT DISTINCT FROM b.nm_id AND a.r = b.r GROUP BY 1, 2, 3),
+e AS (SELECT g.*, coalesce(p.s / g.n, 0) AS s, coalesce(p.q / g.n, 0) AS q FROM g LEFT JOIN p ON p.nm_id IS NOT DISTINCT FROM g.nm_id AND p.ta = g.ta AND p.tb = g.tb),
+u AS (SELECT nm_id, sum(CASE WHEN ta = tb THEN s ELSE 0 END) / any_value(k) AS mean FROM e WHERE dense GROUP BY nm_id),
+w AS (SELECT e.nm_id, any_value(u.mean) AS mean, sum(pow(s - CASE WHEN ta = tb THEN u.mean ELSE 0 END, 2)) / any_value(k) AS d2, sum(q - s * s) / any_value(k) / any_value(n) AS b2 FROM e JOIN u ON u.nm_id IS NOT DISTINCT FROM e.nm_id WHERE dense GROUP BY e.nm_id)
+SELECT e.nm_id, ta AS topic_a, tb AS topic_b, round(CASE WHEN dense THEN CASE WHEN d2 > 1e-15 THEN least(b2, d2) / d2 * CASE WHEN ta = tb THEN mean ELSE 0 END + (1 - least(b2, d2) / d2) * s ELSE s END WHEN ta = tb THEN own ELSE 0 END, 5) AS cov FROM e LEFT JOIN w ON w.nm_id IS NOT DISTINCT FROM e.nm_id""")
 _add("k5_varied_selection", lambda s, d: varied_selection(table(s, d, "embeddings").withColumn("score", V.norm(F.col("embedding"))), "label", "vec_id", "embedding", "score"), None)
 _add("s1_windows", lambda s, d: windowed_totals(table(s, d, "events"), "ts", "event_type", "value", "1 day").withColumn("total", F.round("total", 4)), "SELECT date_trunc('day', ts)::TIMESTAMP AS start_at, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS end_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 _add("s1_sessions", lambda s, d: session_totals(table(s, d, "events"), "ts", "user_id", "6 hours"), """

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionframe.functions import rating as R
+from opinionframe.operators.heavy_keys import skew_join
+from opinionframe.operators.windows import head_by
 from opinionframe.plans.base import PAIRS_SQL, counted, pairs, r6, sql_plan
 from opinionframe.session import cut_lineage, table
 
@@ -54,31 +56,43 @@ SELECT prediction_id, round(abs(a0-b0)+abs(a1-b1)+abs(a2-b2), 6) AS l1, round(sq
  round((a0*b0+a1*b1+a2*b2)/(sqrt(a0*a0+a1*a1+a2*a2)*sqrt(b0*b0+b1*b1+b2*b2)), 6) AS cosine, round(b0, 6) AS neg_part, round(b1, 6) AS neu_part, round(b2, 6) AS pos_part FROM v""")
 
 
-def i_formulas(spark: SparkSession, d: str) -> DataFrame:
-    f = R.formulas(F.col("pe"), F.col("pn"), F.col("pc"), F.col("pred"))
-    long = F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(k), c) for k, c in f.items())))).alias("formula", "value")
-    rows = pairs(spark, d).select("gold", long)
-    return rows.groupBy("formula").agg(F.round(F.avg(F.abs(F.col("value") - F.col("gold"))), 6).alias("mae"), F.count("value").alias("n"))
+#: The tables hold one hypothesis a prediction; in place of the negative one stands the review's other prediction, the
+#: first by id that has all three probabilities.
+_TWO_SQL = PAIRS_SQL + """, h AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY prediction_id, e, u, c) AS k FROM (SELECT DISTINCT prediction_id, review_id, p_entailment AS e, p_neutral AS u, p_contradiction AS c FROM nli_predictions WHERE p_entailment IS NOT NULL AND p_neutral IS NOT NULL AND p_contradiction IS NOT NULL) y),
+two AS (SELECT p.gold, p.pred, p.pe, p.pn, p.pc, o.e AS ne, o.u AS nu, o.c AS nc FROM pairs p LEFT JOIN h f ON f.review_id = p.review_id AND f.k = 1 LEFT JOIN h o ON o.review_id = p.review_id AND o.k = CASE WHEN f.prediction_id = p.prediction_id THEN 2 ELSE 1 END)
+"""
 
 
-def _formula_sql() -> str:
-    num = lambda x: str(x).replace(".", "_")
-    f = {"F0_current": _CLIP("pred"), "F1_full_distribution": _CLIP("5*pe+3*pn+pc"), "F4_diff": _CLIP("3+2*(pe-pc)"), "F5_ratio": _CLIP("3+2*(pe-pc)/(pe+pc+1e-6)")}
-    f |= {f"F6_logratio_T{num(t)}": _CLIP(f"1+4/(1+exp(-(ln(pe+1e-6)-ln(pc+1e-6))/{t}))") for t in R.TEMPERATURES}
-    f |= {f"F8_power_alpha{num(a)}": _CLIP(f"(5*pow(pe,{a})+3*pow(0.5*pn,{a})+pow(pc,{a}))/(pow(pe,{a})+pow(0.5*pn,{a})+pow(pc,{a})+1e-6)") for a in R.TEMPERATURES}
-    f |= {f"F9_expansion_gamma{num(g)}": _CLIP(f"3+{g}*(pred-3)") for g in R.GAMMAS}
-    return PAIRS_SQL + " UNION ALL ".join(f"SELECT '{k}' AS formula, round(avg(abs({x} - gold)), 6) AS mae, count(*) AS n FROM pairs WHERE pe IS NOT NULL AND pn IS NOT NULL AND pc IS NOT NULL" for k, x in f.items())
+def two_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with ``pe, pn, pc`` of their own hypothesis and ``ne, nu, nc`` of the second one, null where there is none."""
+    h = table(spark, d, "nli_predictions").filter("review_id IS NOT NULL AND p_entailment IS NOT NULL AND p_neutral IS NOT NULL AND p_contradiction IS NOT NULL")
+    h = h.select("review_id", "prediction_id", F.col("p_entailment").alias("e"), F.col("p_neutral").alias("u"), F.col("p_contradiction").alias("c")).distinct()
+    ranked = head_by(h, ["review_id"], [F.col("prediction_id"), F.col("e"), F.col("u"), F.col("c")], 2)
+    both = ranked.groupBy("review_id").agg(*(F.max(F.when(F.col("rank") == k, F.struct("prediction_id", "e", "u", "c"))).alias(f"h{k}") for k in (1, 2)))
+    o = F.when(F.col("h1.prediction_id") == F.col("prediction_id"), F.col("h2")).otherwise(F.col("h1"))
+    return pairs(spark, d).join(both, "review_id", "left").withColumn("o", o).select("gold", "pred", "pe", "pn", "pc", F.col("o.e").alias("ne"), F.col("o.u").alias("nu"), F.col("o.c").alias("nc"))
 
 
-_add("i5_formula_mae", lambda s, d: i_formulas_checked(s, d), _formula_sql())
+def formula_table(rows: DataFrame) -> DataFrame:
+    """``formula, mae, n`` of the 25 formulas; each over the rows that hold all it needs."""
+    f = R.formulas(*(F.col(c) for c in ("pe", "pn", "pc", "ne", "nu", "nc", "pred")))
+    long = F.explode(F.array(*(F.struct(F.lit(k).alias("formula"), c.alias("value")) for k, c in f.items()))).alias("x")
+    return rows.select("gold", long).groupBy("x.formula").agg(F.round(F.avg(F.abs(F.col("x.value") - F.col("gold"))), 6).alias("mae"), F.count("x.value").alias("n"))
 
 
-def i_formulas_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Only pairs with all three probabilities take part (the availability check)."""
-    f = R.formulas(F.col("pe"), F.col("pn"), F.col("pc"), F.col("pred"))
-    rows = pairs(spark, d).filter("pe IS NOT NULL AND pn IS NOT NULL AND pc IS NOT NULL")
-    long = F.explode(F.array(*(F.struct(F.lit(k).alias("formula"), c.alias("value")) for k, c in f.items()))).alias("x")
-    return rows.select("gold", long).groupBy("x.formula").agg(F.round(F.avg(F.abs(F.col("x.value") - F.col("gold"))), 6).alias("mae"), F.count(F.lit(1)).alias("n"))
+def _formula_sql() -> str:
+    num = lambda x: str(x).replace(".", "_")
+    up, down, mid = "(pe+nc)", "(ne+pc)", "(0.5*(pn+nu))"
+    power = lambda a: f"(5*pow({up},{a})+3*pow({mid},{a})+pow({down},{a}))/(pow({up},{a})+pow({mid},{a})+pow({down},{a})+1e-6)"
+    f = {"F0_current": "pred", "F1_pos_full_distribution": "5*pe+3*pn+pc", "F2_neg_full_distribution": "5*nc+3*nu+ne", "F3_avg_full_distribution": f"CASE WHEN pe+pn+pc+ne+nu+nc IS NOT NULL THEN ({_CLIP('5*pe+3*pn+pc')}+{_CLIP('5*nc+3*nu+ne')})/2 END", "F4_dual_diff": "3+2*(pe-ne)", "F5_dual_ratio": "3+2*(pe-ne)/(pe+ne+1e-6)", "F7_dual_full_nli": power(1)}
+    f |= {f"F6_dual_logratio_T{num(t)}": f"1+4/(1+exp(-(ln(pe+1e-6)-ln(ne+1e-6))/{t}))" for t in R.TEMPERATURES}
+    f |= {f"F8_dual_full_nli_power_alpha{num(a)}": power(a) for a in R.TEMPERATURES}
+    f |= {f"F9_center_expansion_gamma{num(g)}": f"3+{g}*(pred-3)" for g in R.GAMMAS}
+    one = lambda k, x: f"SELECT '{k}' AS formula, round(avg(abs({_CLIP(x)} - gold)), 6) AS mae, count({x}) AS n FROM two"
+    return _TWO_SQL + " UNION ALL ".join(one(k, x).replace(_CLIP(x), f"CASE WHEN ({x}) IS NOT NULL THEN {_CLIP(x)} END") for k, x in f.items())
+
+
+_add("i5_formula_mae", lambda s, d: formula_table(two_hypotheses(s, d)), _formula_sql())
 
 
 def i_softmax(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +143,7 @@ _add("d19_sliced_metrics", d_sliced, PAIRS_SQL + f", c AS (SELECT *, abs({_CLIP(
 
 def d_bayes(spark: SparkSession, d: str, c_max: float = 1.0) -> DataFrame:
     """Product scores: time-weighted means drawn to a neutral prior by the lesser of c_max and the product's median mentions."""
-    n = table(spark, d, "nli_predictions").filter("passed_relevance_filter AND final_rating IS NOT NULL AND nm_id <> 0").select("prediction_id", "nm_id", "aspect_name", "final_rating", "created_at").distinct()
+    n = table(spark, d, "nli_predictions").filter("passed_relevance_filter AND final_rating IS NOT NULL").select("prediction_id", "nm_id", "aspect_name", "final_rating", "created_at").distinct()
     w = R.time_weight(F.col("created_at"), F.lit("2026-01-01").cast("timestamp"))
     x = n.withColumn("w", w).filter("w >= 0.01")
     m = x.groupBy("nm_id", "aspect_name").agg(F.count(F.lit(1)).alias("mentions"), F.sum("w").alias("nw"), F.sum(F.col("w") * F.col("final_rating")).alias("ws"), F.sum(F.col("w") * F.col("final_rating") * F.col("final_rating")).alias("wss"))
@@ -138,7 +152,7 @@ def d_bayes(spark: SparkSession, d: str, c_max: float = 1.0) -> DataFrame:
 
 
 _add("d1_bayes_scores", d_bayes, """
-WITH n AS (SELECT DISTINCT prediction_id, nm_id, aspect_name, final_rating AS s, coalesce(exp(-greatest(0, date_diff('day', CAST(created_at AS DATE), DATE '2026-01-01')) / 365.0), 1.0) AS w FROM nli_predictions WHERE passed_relevance_filter AND final_rating IS NOT NULL AND nm_id <> 0),
+WITH n AS (SELECT DISTINCT prediction_id, nm_id, aspect_name, final_rating AS s, coalesce(exp(-greatest(0, date_diff('day', CAST(created_at AS DATE), DATE '2026-01-01')) / 365.0), 1.0) AS w FROM nli_predictions WHERE passed_relevance_filter AND final_rating IS NOT NULL),
 m AS (SELECT nm_id, aspect_name, count(*) AS mentions, sum(w) AS nw, sum(w * s) / sum(w) AS mean, sum(w * s * s) AS wss FROM n WHERE w >= 0.01 GROUP BY nm_id, aspect_name),
 c AS (SELECT nm_id, least(median(mentions), 1.0) AS c FROM m GROUP BY nm_id)
 SELECT m.nm_id, aspect_name, mentions, round(nw, 5) AS effective, round(mean, 5) AS raw_mean, round(least(5.0, greatest(1.0, nw / (nw + c) * mean + c / (nw + c) * 3.0)), 5) AS score, round(CASE WHEN mentions > 1 THEN greatest(0.0, wss / nw - mean * mean) ELSE 0.0 END, 5) AS variance FROM m JOIN c USING (nm_id)""")
@@ -196,7 +210,16 @@ _same("d23_error_summary", f"WITH s AS ({_DEC}), c AS (SELECT coalesce(dec, 'NON
 _same("d23_top_fp_aspects", f"WITH s AS ({_DEC}) SELECT system_aspect, count(*) AS n FROM s WHERE dec = 'FP' AND system_aspect IS NOT NULL GROUP BY system_aspect ORDER BY n DESC, system_aspect LIMIT 20")
 _same("d24_micro_macro", f"WITH s AS ({_DEC}), r AS (SELECT review_id, count_if(dec = 'TP') AS tp, count_if(dec = 'FP') AS fp FROM s GROUP BY review_id) SELECT round(sum(tp) / nullif(sum(tp + fp), 0), 6) AS micro, round(avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END), 6) AS macro, count_if(tp + fp = 0) AS uncovered FROM r")
 _same("d26_review_macro_mae", PAIRS_SQL + ", r AS (SELECT review_id, avg(abs(pred - gold)) AS e, sqrt(avg((pred - gold) * (pred - gold))) AS q FROM pairs GROUP BY review_id) SELECT count(*) AS n_reviews, round(avg(e), 6) AS macro_mae, round(avg(q), 6) AS macro_rmse FROM r")
-_same("d27_baselines", PAIRS_SQL + ", x AS (SELECT gold, pred, avg(gold) OVER (PARTITION BY nm_id) AS product_mean FROM pairs) SELECT round(avg(abs(pred - gold)), 6) AS model, round(avg(abs(3 - gold)), 6) AS constant, round(avg(abs(product_mean - gold)), 6) AS product FROM x")
+def d_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the model, of the constant 3, of the product's mean rating and of the review's stars."""
+    p = pairs(spark, d)
+    stars = table(spark, d, "reviews").filter("id IS NOT NULL").groupBy(F.col("id").alias("review_id")).agg(F.max("rating").alias("stars"))
+    x = skew_join(p, p.groupBy("nm_id").agg(F.avg("gold").alias("product_mean")), "nm_id").join(stars, "review_id", "left")
+    e = lambda c: F.round(F.avg(F.abs(c - F.col("gold"))), 6)
+    return x.agg(e(F.col("pred")).alias("model"), e(F.lit(3.0)).alias("constant"), e(F.col("product_mean")).alias("product"), e(F.col("stars")).alias("star"))
+
+
+_add("d27_baselines", d_baselines, PAIRS_SQL + ", r AS (SELECT id, max(rating) AS stars FROM reviews GROUP BY id), m AS (SELECT nm_id, avg(gold) AS product_mean FROM pairs GROUP BY nm_id), x AS (SELECT gold, pred, product_mean, stars FROM pairs LEFT JOIN m USING (nm_id) LEFT JOIN r ON r.id = pairs.review_id) SELECT round(avg(abs(pred - gold)), 6) AS model, round(avg(abs(3 - gold)), 6) AS constant, round(avg(abs(product_mean - gold)), 6) AS product, round(avg(abs(stars - gold)), 6) AS star FROM x")
 
 
 def d_lopo_calibration(spark: SparkSession, d: str) -> DataFrame:
@@ -293,9 +316,9 @@ def k_lopo_threshold(spark: SparkSession, d: str) -> DataFrame:
     return one.select("nm_id", F.col("b.tau").alias("tau"), F.round("b.f1", 6).alias("f1"))
 
 
-_add("k19_lopo_threshold", k_lopo_threshold, PAIRS_SQL + """, t AS (SELECT 0.30 AS tau UNION ALL SELECT 0.35 UNION ALL SELECT 0.40 UNION ALL SELECT 0.45 UNION ALL SELECT 0.50),
-s AS (SELECT nm_id, tau, count_if(pe >= tau AND gold >= 4) AS tp, count_if(pe >= tau AND gold < 4) AS fp, count_if(pe < tau AND gold >= 4) AS fn FROM pairs CROSS JOIN t GROUP BY nm_id, tau),
-a AS (SELECT tau, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM s GROUP BY tau),
-f AS (SELECT s.nm_id, s.tau, CASE WHEN a.tp > s.tp THEN 2.0 * (a.tp - s.tp) / (2 * (a.tp - s.tp) + (a.fp - s.fp) + (a.fn - s.fn)) ELSE 0.0 END AS f1 FROM s JOIN a ON a.tau = s.tau),
-r AS (SELECT nm_id, tau, f1, row_number() OVER (PARTITION BY nm_id ORDER BY round(f1, 9) DESC, tau) AS k FROM f)
-SELECT nm_id, round(CAST(tau AS DOUBLE), 2) AS tau, round(CAST(f1 AS DOUBLE), 6) AS f1 FROM r WHERE k = 1""")
+_add("k19_lopo_threshold", k_lopo_threshold, PAIRS_SQL + """, x AS (SELECT nm_id, pe, CASE WHEN gold >= 4 THEN 1 ELSE 0 END AS y FROM pairs), t AS (SELECT -1e0 AS tau UNION SELECT pe FROM x WHERE pe IS NOT NULL),
+s AS (SELECT tau, nm_id, count(CASE WHEN pe > tau AND y = 1 THEN 1 END) AS tp, count(CASE WHEN pe > tau AND y = 0 THEN 1 END) AS fp, sum(y) AS pos FROM x CROSS JOIN t GROUP BY tau, nm_id),
+a AS (SELECT tau, sum(tp) AS tp, sum(fp) AS fp, sum(pos) AS pos FROM s GROUP BY tau),
+f AS (SELECT s.nm_id, s.tau, a.tp - s.tp AS tp, a.fp - s.fp AS fp, a.pos - s.pos AS pos FROM s JOIN a ON a.tau = s.tau),
+r AS (SELECT *, 2e0 * tp / greatest(tp + fp + pos, 1) AS f1, row_number() OVER (PARTITION BY nm_id ORDER BY round(2e0 * tp / greatest(tp + fp + pos, 1), 12) DESC, round(1e0 * tp / greatest(pos, 1), 12) DESC, round(1e0 * tp / greatest(tp + fp, 1), 12) DESC, tau) AS k FROM f)
+SELECT nm_id, tau, round(f1, 6) AS f1 FROM r WHERE k = 1""")

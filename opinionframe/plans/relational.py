@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from opinionframe.functions import text as X
 from opinionframe.functions import vectors as V
 from opinionframe.functions.rating import length_trust
+from opinionframe.operators.heavy_keys import skew_join
+from opinionframe.operators.ranks import value_ranks
 from opinionframe.operators.upsert import upsert_latest
 from opinionframe.operators.windows import first_by, head_by, share_of_total
 from opinionframe.plans.base import PAIRS_SQL, counted, pairs, sql_plan
@@ -46,7 +48,8 @@ _same("b2_relevance_flag", "SELECT DISTINCT prediction_id, p_entailment + p_cont
 _same("b3_filter_with_fallback", "WITH x AS (SELECT DISTINCT review_id, prediction_id, passed_relevance_filter AS ok FROM nli_predictions), y AS (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY review_id) AS any_ok FROM x) SELECT review_id, prediction_id FROM y WHERE ok OR any_ok = 0")
 _same("b4_valid_text", "SELECT DISTINCT id FROM reviews WHERE length(trim(full_text)) > 20 AND rating BETWEEN 1 AND 5")
 _same("b6_source_report", "SELECT source, count(*) AS n, count(*) / (SELECT count(*) FROM candidates) AS share FROM candidates GROUP BY source")
-_same("b9_min_frequency", "SELECT candidate_id, text_lemmatized FROM (SELECT candidate_id, text_lemmatized, count(*) OVER (PARTITION BY text_lemmatized) AS n FROM candidates WHERE text_lemmatized IS NOT NULL) x WHERE n >= 2")
+_add("b9_min_frequency", lambda s, d: skew_join(table(s, d, "candidates").filter("text_lemmatized IS NOT NULL").select("candidate_id", "text_lemmatized"), table(s, d, "candidates").groupBy("text_lemmatized").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"), "text_lemmatized", how="inner").select("candidate_id", "text_lemmatized"),
+     "SELECT candidate_id, text_lemmatized FROM (SELECT candidate_id, text_lemmatized, count(*) OVER (PARTITION BY text_lemmatized) AS n FROM candidates WHERE text_lemmatized IS NOT NULL) x WHERE n >= 2")
 _add("b10_frequent_words", lambda s, d: share_of_total(table(s, d, "candidates").filter("text NOT LIKE '% %' AND length(text) >= 3").select(F.lower("text").alias("word")), ["word"]).filter("share >= 0.005").select("word", "n"),
      "WITH c AS (SELECT lower(text) AS word FROM candidates WHERE text NOT LIKE '% %' AND length(text) >= 3) SELECT word, count(*) AS n FROM c GROUP BY word HAVING count(*) >= 0.005 * (SELECT count(*) FROM c)")
 _add("b11_null_like", lambda s, d: table(s, d, "gold_decisions").groupBy(X.null_like(F.col("matched_system_prediction_id")).isNull().alias("is_null")).agg(F.count(F.lit(1)).alias("n")),
@@ -87,7 +90,10 @@ def c_contained(spark: SparkSession, d: str) -> DataFrame:
     return c.join(found, "t").select("candidate_id", "cluster_id").distinct()
 
 
-_add("c8_contained_terms", c_contained, "WITH a AS (SELECT cluster_id, split_part(lower(medoid_phrase), ' ', 1) || ' ' || split_part(lower(medoid_phrase), ' ', 2) AS term FROM clusters), c AS (SELECT DISTINCT candidate_id, lower(text) AS t FROM candidates) SELECT DISTINCT candidate_id, cluster_id FROM c JOIN a ON contains(' ' || t || ' ', ' ' || term || ' ')")
+_TOKENS = r"array_to_string(regexp_extract_all(lower({0}), '[^\t\n\x0b\f\r\x1c-\x1f \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), ' ')".format
+_add("c8_contained_terms", c_contained, f"""WITH a AS (SELECT DISTINCT cluster_id, {_TOKENS('medoid_phrase')} AS v FROM clusters), c AS (SELECT DISTINCT candidate_id, {_TOKENS('text')} AS t FROM candidates),
+m AS (SELECT t, cluster_id FROM (SELECT DISTINCT t FROM c WHERE t <> '') x JOIN a ON v <> '' AND (contains(' ' || t || ' ', ' ' || v || ' ') OR contains(' ' || v || ' ', ' ' || t || ' ')))
+SELECT DISTINCT candidate_id, cluster_id FROM c JOIN m USING (t)""")
 
 
 def c_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +136,7 @@ _add("e3_top7_per_product", lambda s, d: head_by(table(s, d, "product_aggregates
 _same("e4_margin", "WITH r AS (SELECT review_id, p_entailment AS s, row_number() OVER (PARTITION BY review_id ORDER BY p_entailment DESC) AS k FROM (SELECT DISTINCT prediction_id, review_id, p_entailment FROM nli_predictions WHERE p_entailment IS NOT NULL) x) SELECT review_id, max(CASE WHEN k = 1 THEN s END) AS best, round(max(CASE WHEN k = 1 THEN s END) - max(CASE WHEN k = 2 THEN s END), 6) AS margin FROM r GROUP BY review_id")
 _same("e7_max_per_pair", "SELECT review_id, aspect_name, max(final_rating) AS best FROM nli_predictions GROUP BY review_id, aspect_name")
 _add("e8_share_of_total", lambda s, d: share_of_total(table(s, d, "parsed_chunks"), ["dep_label"]).select("dep_label", "n", F.round("share", 6).alias("share")), "SELECT dep_label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM parsed_chunks GROUP BY dep_label")
-_same("e9_average_ranks", "SELECT vec_id, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0e0 AS avg_rank FROM embeddings")
+_add("e9_average_ranks", lambda s, d: skew_join(table(s, d, "embeddings").select("vec_id", "label"), value_ranks(table(s, d, "embeddings"), "label").select("label", "avg_rank"), "label", how="inner").select("vec_id", "avg_rank"), "SELECT vec_id, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0e0 AS avg_rank FROM embeddings")
 _same("e11_mode_with_ties", "WITH c AS (SELECT nm_id, category, count(*) AS n FROM reviews WHERE category IS NOT NULL GROUP BY nm_id, category), r AS (SELECT nm_id, category, row_number() OVER (PARTITION BY nm_id ORDER BY n DESC, category) AS k FROM c) SELECT nm_id, category FROM r WHERE k = 1")
 _same("e12_lag_ntile", "SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS quarter, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
 _add("f1_hard_cases", lambda s, d: pairs(s, d).select("prediction_id", F.round(F.abs(F.col("pred") - F.col("gold")), 6).alias("e")).orderBy(F.desc("e"), "prediction_id").limit(30), PAIRS_SQL + "SELECT prediction_id, round(abs(pred - gold), 6) AS e FROM pairs ORDER BY e DESC, prediction_id LIMIT 30")
@@ -149,11 +155,15 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reviews").filter("full_text IS NOT NULL").select("id", F.col("full_text").alias("t")).distinct()
 
 
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(t, '\n', ' '), '([.,!?;:])([^\s])', '\1 \2', 'g'), '[^\w\s.,!?;:-]', '', 'g'), '\s+', ' ', 'g'))"
-_add("h1_clean_text", lambda s, d: _texts(s, d).select("id", X.clean_text(F.col("t")).alias("clean")), None)
+#: White space as Python knows it, for the engine of the SQL.
+_WS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACED = rf"regexp_replace(regexp_replace(replace(t, '\n', ' '), '([.,!?;:])([^{_WS}])', '\1 \2', 'g'), '([.,!?;:])([^{_WS}])', '\1 \2', 'g')"
+_add("h1_clean_text", lambda s, d: _texts(s, d).select("id", X.clean_text(F.col("t")).alias("clean")),
+     rf"SELECT id, regexp_replace(regexp_replace(regexp_replace({_SPACED}, '[^\p{{L}}\p{{N}}_{_WS}.,!?;:-]', ' ', 'g'), '[{_WS}]{{2,}}', ' ', 'g'), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS clean FROM ({_ID}) y")
 _add("h2_plain_sentences", lambda s, d: _texts(s, d).select("id", F.size(X.plain_sentences(F.col("t"))).cast("bigint").alias("n_sentences")),
-     rf"SELECT id, greatest(1, len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: trim(x) <> ''))) AS n_sentences FROM ({_ID}) y WHERE NOT regexp_matches(t, '[\t\n\r\v\f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
-_add("h4_words", lambda s, d: _texts(s, d).select("id", F.size(X.words(F.col("t"))).alias("n_words")), None)
+     rf"SELECT id, greatest(1, len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: regexp_matches(x, '[^{_WS}]')))) AS n_sentences FROM ({_ID}) y")
+_add("h4_words", lambda s, d: _texts(s, d).select("id", F.size(X.words(F.col("t"))).cast("bigint").alias("n_words")),
+     rf"SELECT id, len(list_filter(regexp_extract_all(t, '[^{_WS}]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_-]'))) AS n_words FROM ({_ID}) y")
 _add("h6_phrase_candidates", lambda s, d: _texts(s, d).select("id", X.words(F.col("t")).alias("w")).select("id", F.explode(X.phrase_candidates(F.col("w"))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), None)
 _add("h9_normal_form", lambda s, d: table(s, d, "candidates").filter("text IS NOT NULL").select("candidate_id", X.normal_form(F.col("text")).alias("norm")).distinct(), f"SELECT DISTINCT candidate_id, {_NORM('text')} AS norm FROM candidates WHERE text IS NOT NULL")
 _add("h20_contains_term", lambda s, d: table(s, d, "parsed_chunks").filter("sentence IS NOT NULL AND head_lemma IS NOT NULL").select("chunk_id", X.contains_term(F.lower("sentence"), F.col("head_lemma")).alias("holds")).distinct(), "SELECT DISTINCT chunk_id, contains(' ' || lower(sentence) || ' ', ' ' || head_lemma || ' ') AS holds FROM parsed_chunks WHERE sentence IS NOT NULL AND head_lemma IS NOT NULL")
@@ -161,7 +171,7 @@ _same("h22_composed_text", "SELECT DISTINCT id, concat_ws(' ', nullif(trim(pros)
 _same("h26_hypothesis", "SELECT aspect_id, concat(canonical_name, ' — это хорошо') AS positive, concat(canonical_name, ' — это плохо') AS negative FROM aspect_reference")
 _add("h0_stable_id", lambda s, d: table(s, d, "nli_predictions").select("prediction_id", X.stable_id(F.col("review_id"), F.col("aspect_name")).alias("sid")).distinct(), "SELECT DISTINCT prediction_id, substr(sha256(coalesce(review_id, 'None') || '|' || coalesce(aspect_name, 'None')), 1, 16) AS sid FROM nli_predictions")
 _add("i13_length_trust", lambda s, d: _texts(s, d).select("id", F.round(length_trust(F.col("t")), 6).alias("trust")),
-     rf"SELECT id, round(1 / (1 + exp(-0.8 * (CASE WHEN trim(t) = '' THEN 0 ELSE len(string_split_regex(trim(t), ' +')) END - 4))), 6) AS trust FROM ({_ID}) y WHERE NOT regexp_matches(t, '[\t\n\r\v\f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
+     rf"SELECT id, round(1 / (1 + exp(-0.8 * (len(regexp_extract_all(t, '[^{_WS}]+')) - 4))), 6) AS trust FROM ({_ID}) y")
 
 # --- dates, arrays, vectors
 _same("j1_review_age", "SELECT DISTINCT id, CAST(ingested_at AS DATE) AS day, CAST(year(created_date) AS BIGINT) AS y, CAST(month(created_date) AS BIGINT) AS m FROM reviews WHERE created_date IS NOT NULL")

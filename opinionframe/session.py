@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,12 +27,18 @@ def get_spark(app: str = "opinionframe", cores: int | str = "*", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``. Only where all executors are this very process
+    (tests, benches) it may be unset; then it is one of our own. A cluster without it is an error."""
     sc = spark.sparkContext
     if current := sc.getCheckpointDir():
         return current
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="opinionframe-ckpt-"))
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="opinionframe-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -44,7 +53,17 @@ def cut_lineage(df: DataFrame, in_loop: bool = False) -> DataFrame:
         return df.checkpoint(eager=True)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut_lineage(..., in_loop=True)`` that nothing reads any more, so disk doesn't grow with rounds."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        at.getFileSystem(t.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

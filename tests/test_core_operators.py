@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from opinionframe.functions import rating as R
 from opinionframe.functions import text as X
-from opinionframe.operators.covariance import ledoit_wolf, topic_covariance, varied_selection
+from opinionframe.operators.covariance import topic_covariance, varied_selection
+from opinionframe.operators.ranks import value_ranks
 from opinionframe.operators.upsert import insert_or_ignore, merge
 from opinionframe.sources.files import read_reviews_csv, require_columns, write_sorted
 from opinionframe.streaming.events import first_deliveries, running_scores, session_totals, windowed_totals
@@ -40,6 +41,27 @@ def test_streams_equal_batches(spark, tmp_path):
     assert session_totals(e, "t", "k").count() == 2
 
 
+def ledoit_wolf(x):
+    """The published estimator, on a full matrix."""
+    n, k = x.shape
+    c = x - x.mean(axis=0)
+    s = c.T @ c / n
+    mean = np.trace(s) / k
+    d2 = ((s - mean * np.eye(k)) ** 2).sum() / k
+    b2 = min(d2, (((c**2).T @ (c**2) / n) - s**2).sum() / k / n)
+    w = b2 / d2 if d2 > 0 else 0.0
+    return w * mean * np.eye(k) + (1 - w) * s
+
+
+def test_ranks_equal_sorting(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=700), 1).tolist() + [5.0] * 300
+    got = {r.x: (r.n, r.avg_rank, r.hits) for r in value_ranks(spark.createDataFrame([(v,) for v in x] + [(None,)], "x double"), "x", hits=F.lit(2)).collect()}
+    order = np.sort(x)
+    assert got == {v: (int((order == v).sum()), float(np.mean(np.flatnonzero(order == v) + 1)), 2 * int((order == v).sum())) for v in set(x)}
+    assert value_ranks(spark.createDataFrame([], "x double"), "x").count() == 0
+
+
 def test_shrunken_covariance(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 3))
@@ -47,7 +69,7 @@ def test_shrunken_covariance(spark):
     assert np.allclose(np.trace(c), np.trace(s)) and np.linalg.norm(c - np.diag(np.diag(c))) < np.linalg.norm(s - np.diag(np.diag(s)))
     rows = [(1, f"r{i}", t, float(x[i, j])) for i in range(40) for j, t in enumerate("abc")] + [(2, "r", "a", 1.0), (2, "s", "a", 3.0), (2, "s", "b", 2.0), (3, "r", "a", None)]
     got = {(r.nm, r.topic_a, r.topic_b): r.cov for r in topic_covariance(spark.createDataFrame(rows, "nm int, rid string, topic string, v double"), "nm", "rid", "topic", "v").collect()}
-    assert np.isclose(got[(1, "a", "b")], c[0, 1]) and got[(2, "a", "a")] == 1.0 and got[(2, "b", "b")] == 1.0 and (3, "a", "a") not in got
+    assert np.isclose(got[(1, "a", "b")], c[0, 1]) and np.isclose(got[(1, "b", "b")], c[1, 1]) and got[(2, "a", "a")] == 1.0 and got[(2, "b", "b")] == 1.0 and (3, "a", "a") not in got
 
 
 def test_varied_selection(spark):
@@ -69,6 +91,7 @@ def test_expressions_on_nulls_and_edges(spark):
     assert [tuple(r) for r in got] == [(None, None, None), (2.5, 2, "too_high"), (5.0, 5, "strong_wrong_polarity")]
     t = spark.createDataFrame([("Да!Нет…  ёж\\nи,тут",), ("",), (None,)], "t string")
     got = t.select(X.clean_text(F.col("t")).alias("c"), X.words(F.col("t")).alias("w"), X.plain_sentences(F.col("t")).alias("s")).collect()
+    assert spark.createDataFrame([("Нет…ёж «да»...ок\n\nтак",)], "t string").select(X.clean_text(F.col("t"))).first()[0] == "Нет ёж да . . . ок так"
     assert got[0].c == "Да! Нет ёж и, тут" and got[1].w == [] and got[1].s == [""]
     labels = spark.createDataFrame([("{'а': 1.0, '': 2.0, 'б': None}",), ("мусор",), (None,)], "t string").select(X.label_map(F.col("t")).alias("m")).collect()
     assert [r.m for r in labels] == [{"а": 1.0}, {}, {}]

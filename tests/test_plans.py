@@ -10,9 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-#: One of each kind; ``TEST_ALL=1`` runs all.
-SOME = "a2_label_rows c10_top1_centroid d10_review_prf d16_pair_metrics d19_sliced_metrics d29_lopo_calibration i5_formula_mae e3_top7_per_product j2_array_profile l1_upsert_latest p3_report p5_profile s1_sessions".split()
-CORE = [k for k in entry.oracle_sql() if os.environ.get("TEST_ALL") or k in SOME]
+CORE = list(entry.oracle_sql())
 
 
 def _norm(v):
