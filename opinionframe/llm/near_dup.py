@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionframe.llm.textnorm import hash64
-from opinionframe.session import cut_lineage
+from opinionframe.session import cut_lineage, drop_written
 
 THRESHOLD, MIN_WORDS = 0.8, 30
 POSITIONS, RUN, TALLIED, MIN_TALLY = 160, 4, 64, 24
@@ -170,11 +170,14 @@ def components(nodes: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = cut_lineage(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct(), in_loop=True)
     labels = cut_lineage(edges.groupBy("s").agg(F.least(F.first("s"), F.min("t")).alias("l")), in_loop=True)
+    last = labels
     while True:
         best = edges.join(labels.withColumnRenamed("s", "t"), "t").groupBy("s").agg(F.min("l").alias("m"))
         near = labels.join(best, "s").select("s", F.least("l", "m").alias("l"), F.col("l").alias("before"))
         jump = near.select(F.col("s").alias("l"), F.col("l").alias("j"))
         now = cut_lineage(near.join(jump, "l").select("s", F.least("l", "j").alias("l"), "before"), in_loop=True)
+        drop_written(last)
+        last = now
         if now.filter("l <> before").isEmpty():
             break
         labels = now.select("s", "l")
