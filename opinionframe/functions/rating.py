@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,6 +112,13 @@ def length_trust(text: Column, slope: float = 0.8, middle: float = 4.0) -> Colum
     return 1 / (1 + F.exp(-slope * (n - middle)))
 
 
+def uniqueness(nearest: Column, copies: Column, floor: float = 0.75, least: float = 0.01) -> Column:
+    """A review's weight by its greatest similarity to another and the size of its group of near copies."""
+    over = F.greatest(F.lit(0.0), (nearest - floor) / (1 - floor))
+    shared = F.when(copies > 1, F.lit(math.log(2)) / F.log(1 + copies)).otherwise(1.0)
+    return F.greatest(F.lit(least), F.least(F.lit(1.0), (1 - over * over) * shared))
+
+
 def bayes(mean: Column, n: Column, strength: Column, prior: float = 3.0) -> Column:
     return clip(n / (n + strength) * mean + strength / (n + strength) * prior)
 

@@ -39,10 +39,8 @@ _same("d42_cluster_sizes", "WITH c AS (SELECT nm_id, count(*) AS k FROM clusters
 _same("d45_batch_progress", "WITH s AS (SELECT review_id, count(*) AS n, count_if(manual_decision IS NOT NULL AND trim(manual_decision) <> '') AS done FROM (SELECT DISTINCT prediction_id, review_id, manual_decision FROM system_decisions) x GROUP BY review_id) SELECT CASE WHEN done = 0 THEN 'new' WHEN done < n THEN 'partial' ELSE 'done' END AS state, count(*) AS n FROM s GROUP BY 1")
 _same("d46_label_profile", "WITH g AS (SELECT gold_aspect, count(*) AS n FROM gold_decisions WHERE gold_aspect IS NOT NULL GROUP BY gold_aspect) SELECT gold_aspect, n, CAST(row_number() OVER (ORDER BY n DESC, gold_aspect) AS BIGINT) AS place FROM g")
 _same("d49_majority_aspect", "WITH c AS (SELECT mapped_gold_aspect AS g, system_aspect AS s, count(*) AS n FROM system_decisions WHERE mapped_gold_aspect IS NOT NULL AND system_aspect IS NOT NULL GROUP BY 1, 2), r AS (SELECT g, s, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, s) AS k FROM c) SELECT g, s, n FROM r WHERE k = 1")
-_same("b7_noise_reasons", "SELECT reason, count(*) AS n FROM (SELECT DISTINCT candidate_id, CASE WHEN text IS NULL OR length(trim(text)) < 3 THEN 'too_short' WHEN text_lemmatized IS NULL THEN 'no_lemma' WHEN start_offset < 0 THEN 'no_offset' ELSE 'kept' END AS reason FROM candidates) x GROUP BY reason")
 _same("b12_hypothesis_kind", "SELECT kind, count(*) AS n FROM (SELECT DISTINCT prediction_id, CASE WHEN lower(hypothesis_text) LIKE '%хорошо%' THEN 'positive' WHEN lower(hypothesis_text) LIKE '%плохо%' THEN 'negative' ELSE 'neutral' END AS kind FROM nli_predictions) x GROUP BY kind")
 _same("c3_validated_one_to_one", "WITH a AS (SELECT prediction_id, max(final_rating) AS model FROM nli_predictions GROUP BY prediction_id), b AS (SELECT prediction_id, max(system_rating) AS audit FROM system_decisions GROUP BY prediction_id) SELECT a.prediction_id, model, audit, round(model - audit, 6) AS delta FROM a JOIN b ON a.prediction_id = b.prediction_id")
-_same("c13_sentence_of_span", "WITH c AS (SELECT DISTINCT chunk_id, review_id, tok_start AS a, tok_end AS b FROM parsed_chunks) SELECT x.chunk_id, count(*) AS n_inside FROM c x JOIN c y ON x.review_id = y.review_id AND y.a >= x.a AND y.a < x.b GROUP BY x.chunk_id")
 _same("g6_removed_predictions", "WITH base AS (SELECT DISTINCT prediction_id FROM nli_predictions), kept AS (SELECT DISTINCT prediction_id FROM nli_predictions WHERE passed_relevance_filter), s AS (SELECT prediction_id, max(upper(trim(manual_decision))) AS dec FROM system_decisions GROUP BY prediction_id) SELECT coalesce(s.dec, 'NONE') AS dec, count(*) AS n FROM base LEFT JOIN s ON s.prediction_id = base.prediction_id WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.prediction_id = base.prediction_id) GROUP BY 1")
 def k_rank_auc(spark: SparkSession, d: str) -> DataFrame:
     """ROC-AUC of the entailment score for good ratings and its Mann-Whitney U, from mean ranks of distinct scores."""

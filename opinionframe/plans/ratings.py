@@ -204,7 +204,6 @@ _same("d13_star_baseline", PAIRS_SQL + ", r AS (SELECT id, max(rating) AS stars
 _same("d15_category_means", "SELECT category_id, count(*) AS n, round(avg(cohesion), 6) AS cohesion, round(avg(CASE WHEN is_novel THEN 1e0 ELSE 0e0 END), 6) AS novel_share FROM clusters GROUP BY category_id")
 _same("d18_aggregate_mae", "SELECT aspect_source, count(*) AS n, round(avg(abs_error), 6) AS mae, round(avg(CASE WHEN n_reviews_contributing >= 3 THEN abs_error END), 6) AS mae_n3 FROM (SELECT DISTINCT run_id, nm_id, aspect_name, aspect_source, n_reviews_contributing, abs_error FROM product_aggregates) x GROUP BY aspect_source")
 _DEC = "SELECT DISTINCT prediction_id, review_id, system_aspect, aspect_source, coalesce(upper(trim(manual_decision)), 'NONE') AS dec FROM system_decisions"
-_same("d20_detection_strict_soft", f"WITH s AS ({_DEC}), c AS (SELECT aspect_source, count_if(dec = 'TP') AS tp, count_if(dec = 'FP') AS fp, count_if(dec = 'UNCLEAR') AS un FROM s GROUP BY aspect_source) SELECT aspect_source, tp, fp, un, round(tp / nullif(tp + fp + un, 0), 6) AS precision_strict, round(tp / nullif(tp + fp, 0), 6) AS precision_soft FROM c")
 _same("d21_detection_counts", f"WITH s AS ({_DEC}), g AS (SELECT DISTINCT review_id, gold_aspect, upper(trim(status)) AS st FROM gold_decisions), a AS (SELECT count_if(dec = 'TP') AS tp, count_if(dec IN ('FP', 'DUPLICATE', 'OUT_OF_SCOPE')) AS fp_strict, count_if(dec = 'FP') AS fp_soft FROM s), b AS (SELECT count_if(st IN ('FN', 'UNCLEAR')) AS fn_strict, count_if(st = 'FN') AS fn_soft FROM g) SELECT tp, fp_strict, fp_soft, fn_strict, fn_soft, round(tp / nullif(tp + fp_strict, 0), 6) AS p_strict, round(tp / nullif(tp + fn_soft, 0), 6) AS r_soft FROM a CROSS JOIN b")
 _same("d23_error_summary", f"WITH s AS ({_DEC}), c AS (SELECT coalesce(dec, 'NONE') AS dec, count(*) AS n FROM s GROUP BY coalesce(dec, 'NONE')) SELECT dec, n, round(n / sum(n) OVER (), 6) AS share FROM c")
 _same("d23_top_fp_aspects", f"WITH s AS ({_DEC}) SELECT system_aspect, count(*) AS n FROM s WHERE dec = 'FP' AND system_aspect IS NOT NULL GROUP BY system_aspect ORDER BY n DESC, system_aspect LIMIT 20")

@@ -140,7 +140,6 @@ _add("e9_average_ranks", lambda s, d: skew_join(table(s, d, "embeddings").select
 _same("e11_mode_with_ties", "WITH c AS (SELECT nm_id, category, count(*) AS n FROM reviews WHERE category IS NOT NULL GROUP BY nm_id, category), r AS (SELECT nm_id, category, row_number() OVER (PARTITION BY nm_id ORDER BY n DESC, category) AS k FROM c) SELECT nm_id, category FROM r WHERE k = 1")
 _same("e12_lag_ntile", "SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS quarter, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
 _add("f1_hard_cases", lambda s, d: pairs(s, d).select("prediction_id", F.round(F.abs(F.col("pred") - F.col("gold")), 6).alias("e")).orderBy(F.desc("e"), "prediction_id").limit(30), PAIRS_SQL + "SELECT prediction_id, round(abs(pred - gold), 6) AS e FROM pairs ORDER BY e DESC, prediction_id LIMIT 30")
-_same("f5_worst_union_heads", PAIRS_SQL + ", w AS (SELECT prediction_id FROM pairs ORDER BY abs(pred - gold) DESC, prediction_id LIMIT 20), h AS (SELECT prediction_id FROM (SELECT prediction_id, row_number() OVER (PARTITION BY nm_id ORDER BY prediction_id) AS k FROM pairs) x WHERE k <= 3) SELECT prediction_id FROM w UNION SELECT prediction_id FROM h")
 _same("f7_page", "SELECT DISTINCT id FROM reviews ORDER BY id LIMIT 50 OFFSET 100")
 _same("f4_most_common", "SELECT text_lemmatized, count(*) AS n FROM candidates WHERE text_lemmatized IS NOT NULL GROUP BY text_lemmatized ORDER BY n DESC, text_lemmatized LIMIT 50")
 _same("g1_found_missed_extra", "WITH p AS (SELECT DISTINCT review_id, aspect_name AS a FROM nli_predictions), g AS (SELECT DISTINCT review_id, gold_aspect AS a FROM gold_decisions), tp AS (SELECT review_id, a FROM p INTERSECT SELECT review_id, a FROM g), fp AS (SELECT review_id, a FROM p EXCEPT SELECT review_id, a FROM g), fn AS (SELECT review_id, a FROM g EXCEPT SELECT review_id, a FROM p) SELECT 'tp' AS kind, count(*) AS n FROM tp UNION ALL SELECT 'fp', count(*) FROM fp UNION ALL SELECT 'fn', count(*) FROM fn")
@@ -180,15 +179,9 @@ _add("k2_unit_centroids", lambda s, d: V.mean_vectors(table(s, d, "embeddings").
      "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i) SELECT label, round(sqrt(sum(x * x)), 5) AS length FROM m GROUP BY label")
 _same("k17_uncovered_aspects", "WITH w AS (SELECT DISTINCT lower(medoid_phrase) AS p FROM clusters) SELECT aspect_id, canonical_name FROM aspect_reference a WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE lower(c.matched_to_gold_aspect) = lower(a.canonical_name))")
 _same("d39_surface_forms", "WITH c AS (SELECT text_lemmatized AS k, text, count(*) AS n FROM candidates WHERE text_lemmatized IS NOT NULL AND text IS NOT NULL GROUP BY text_lemmatized, text), r AS (SELECT k, text, sum(n) OVER (PARTITION BY k) AS weight, row_number() OVER (PARTITION BY k ORDER BY n DESC, text) AS i FROM c) SELECT k, text AS surface, CAST(weight AS BIGINT) AS weight FROM r WHERE i = 1")
-_add("d40_cluster_summary", lambda s, d: table(s, d, "clusters").select("cluster_id", F.size("top_phrases").cast("bigint").alias("n_phrases"), F.coalesce(F.aggregate("top_phrases", F.lit(0).cast("bigint"), lambda a, p: a + p["weight"]), F.lit(0).cast("bigint")).alias("weight")), "SELECT cluster_id, len(top_phrases) AS n_phrases, CAST(coalesce(list_sum(list_transform(top_phrases, lambda p: p.weight)), 0) AS BIGINT) AS weight FROM clusters")
 
 # --- upserts and checks
 _add("l1_upsert_latest", lambda s, d: upsert_latest(table(s, d, "system_decisions").select("prediction_id", "manual_decision", "committed", "updated_at").distinct(), ["prediction_id"], ["updated_at", "manual_decision", "committed"]),
      "WITH r AS (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY updated_at DESC NULLS LAST, manual_decision DESC NULLS LAST, committed DESC NULLS LAST) AS k FROM (SELECT DISTINCT prediction_id, manual_decision, committed, updated_at FROM system_decisions) y) SELECT prediction_id, manual_decision, committed, updated_at FROM r WHERE k = 1")
-_same("l2_insert_or_ignore", "SELECT DISTINCT p.premise_text FROM nli_predictions p WHERE NOT EXISTS (SELECT 1 FROM parsed_chunks c WHERE c.sentence = p.premise_text)")
 _same("l4_live_rows", "SELECT DISTINCT prediction_id FROM system_decisions WHERE deleted_at IS NULL AND committed = 1")
-_same("l6_validation", """SELECT 'tp_with_rating' AS rule_id, count(*) AS violations FROM (SELECT DISTINCT prediction_id, manual_decision, system_rating FROM system_decisions) a WHERE upper(trim(manual_decision)) = 'TP' AND system_rating IS NULL
-UNION ALL SELECT 'found_without_match', count(*) FROM (SELECT DISTINCT review_id, gold_aspect, status, matched_system_prediction_id FROM gold_decisions) b WHERE status = 'FOUND' AND matched_system_prediction_id IS NULL
-UNION ALL SELECT 'rating_out_of_range', count(*) FROM (SELECT DISTINCT review_id, gold_aspect, gold_rating FROM gold_decisions) c WHERE gold_rating < 1 OR gold_rating > 5
-UNION ALL SELECT 'repeated_prediction', count(*) FROM (SELECT prediction_id FROM system_decisions GROUP BY prediction_id HAVING count(DISTINCT manual_decision) > 1) e""")
 _same("s1_hourly_windows", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
