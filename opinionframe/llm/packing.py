@@ -1,11 +1,12 @@
 """Fill packs of fixed capacity with texts measured in tokens, splitting only what exceeds the capacity.
 
 Texts longer than the capacity give full packs and a remainder. The other items are dealt by hash into groups of about
-GROUP_ITEMS, and every group is packed by best fit in decreasing order, then by swap-based local search: for every bin
-with room, emptiest first and again while it helps, an item is moved to, exchanged one for one with, or two are exchanged
-for one of, an item of a fuller bin, as long as the sum of squared fills grows, which empties bins. The search of a group
-ends at the least number of bins its tokens need, when no step is left, or after SEARCH_STEPS steps. The bins that stay loose are broken up,
-dealt again over all groups and packed once more, so a group's last bin isn't left half empty.
+GROUP_ITEMS. A group's items first go, in the order they come, each into one of the last OPEN bins that has room; then
+swap-based local search empties bins: for every bin with room, emptiest first and again while it helps, an item is moved
+to, exchanged one for one with, or two are exchanged for one of, an item of a fuller bin, as long as the sum of squared
+fills grows. The search of a group ends at the least number of bins its tokens need, when no step is left, or after
+SEARCH_STEPS steps. The bins that stay loose are broken up, dealt again over all groups, packed by best fit and searched
+once more, so a group's last bin isn't left half empty.
 
 Defined results: null, blank and empty texts and null ids aren't packed; repeated rows of an id and text are packed once;
 an item of exactly the capacity fills a pack alone; equal sizes are taken in order of their ids, so the result is the same
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from opinionframe.session import cut_lineage
 
-GROUP_ITEMS, LOOSE, SEARCH_STEPS = 4000, 0.02, 20_000
+GROUP_ITEMS, LOOSE, SEARCH_STEPS, OPEN = 4000, 0.004, 20_000, 40
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -45,6 +46,20 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def first_room(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of item numbers: each, in the order given, into the first of the last OPEN bins that has room."""
+    bins: list[list[int]] = []
+    fill: list[int] = []
+    for i, s in enumerate(sizes.tolist()):
+        k = next((k for k in range(max(0, len(bins) - OPEN), len(bins)) if fill[k] + s <= capacity), len(bins))
+        if k == len(bins):
+            bins.append([])
+            fill.append(0)
+        bins[k].append(i)
+        fill[k] += s
+    return bins
+
+
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Empties bins into fuller ones by moves and swaps that raise the sum of squared fills, at most SEARCH_STEPS of them."""
     fill = np.array([int(sizes[b].sum()) for b in bins], dtype=np.int64)
@@ -109,10 +124,10 @@ def _empty_into_others(d: int, bins: list[list[int]], fill: np.ndarray, where: n
     return steps
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of every item."""
+def pack(sizes: np.ndarray, capacity: int, start=best_fit) -> np.ndarray:
+    """The bin of every item, by local search from the bins of ``start``."""
     out = np.zeros(len(sizes), dtype=np.int64)
-    for k, b in enumerate(local_search(best_fit(sizes, capacity), sizes, capacity)):
+    for k, b in enumerate(local_search(start(sizes, capacity), sizes, capacity)):
         out[b] = k
     return out
 
@@ -123,7 +138,7 @@ _ITEMS = "pack_name string, capacity bigint, id bigint, piece int, tok_start big
 def _packed(items: DataFrame, level: int) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "piece"], kind="stable").reset_index(drop=True)
-        at = pack(pdf["n_tokens"].to_numpy(np.int64), int(pdf["capacity"].iloc[0]))
+        at = pack(pdf["n_tokens"].to_numpy(np.int64), int(pdf["capacity"].iloc[0]), first_room if level == 1 else best_fit)
         return pdf[["pack_name", "capacity", "id", "piece", "tok_start", "n_tokens"]].assign(pack_id=[f"{level}-{g}-{k}" for g, k in zip(pdf["grp"], at, strict=True)])
 
     counted = items.groupBy("pack_name").agg(F.ceil(F.count(F.lit(1)) / GROUP_ITEMS).cast("bigint").alias("n_groups"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionframe.llm.mixing import language_key, marginal_report, mixture, mixture_report, rake, source_key
-from opinionframe.llm.packing import best_fit, local_search, pack, pack_summary, packs
+from opinionframe.llm.packing import best_fit, first_room, local_search, pack, pack_summary, packs
 from opinionframe.llm import spam as spam_module
 from opinionframe.llm.sentences import sentences, split
 from opinionframe.llm.spam import features, spam_scores
@@ -77,7 +77,10 @@ def test_packs_hold_and_are_nearly_full():
         fill = np.bincount(at, weights=s)
         assert fill.max() <= cap and len(at) == 400 and fill.min() > 0
         assert len(fill) <= len(best_fit(s, cap))
-    assert len(pack(np.array([], dtype=np.int64), 10)) == 0
+    assert len(pack(np.array([], dtype=np.int64), 10)) == len(pack(np.array([], dtype=np.int64), 10, first_room)) == 0
+    s = rng.integers(10, 200, 2000)
+    before, after = len(first_room(s, 512)), len(set(pack(s, 512, first_room).tolist()))
+    assert after < before and after <= 1.01 * s.sum() / 512 + 1
     bins = local_search([[0], [1, 2], [3, 4]], np.array([3, 6, 2, 5, 3]), 10)  # 3 goes beside 6 when 2 goes beside 5 and 3
     assert len(bins) == 2
 
