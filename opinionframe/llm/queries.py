@@ -79,18 +79,18 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("cluster").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_wordings"), F.min("name_id").alias("cluster_id")).join(top, "cluster")
 
 
-def _all_sentences(spark: SparkSession, d: str) -> DataFrame:
-    reviews, chunks = table(spark, d, "reviews"), table(spark, d, "parsed_chunks")
-    a = sentences(reviews, "id", "full_text").withColumn("src_table", F.lit("reviews"))
-    return a.unionByName(sentences(chunks, "chunk_id", "sentence").withColumn("src_table", F.lit("parsed_chunks")))
+def _all_sentences(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    parts = [("reviews", "id", "full_text"), ("parsed_chunks", "chunk_id", "sentence")]
+    a, b = (sentences(table(spark, d, t), key, text, with_text).withColumn("src_table", F.lit(t)) for t, key, text in parts)
+    return a.unionByName(b)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _all_sentences(spark, d).select("src_table", "record_id", "start_offset", "end_offset").distinct()
+    return _all_sentences(spark, d, False).select("src_table", "record_id", "start_offset", "end_offset")
 
 
 def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _all_sentences(spark, d).select("src_table", "record_id", "seq", "sentence").distinct()
+    return _all_sentences(spark, d, True).select("src_table", "record_id", "seq", "sentence", "list_level").distinct()
 
 
 def _capacities(spark: SparkSession, d: str) -> DataFrame:

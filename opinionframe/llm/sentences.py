@@ -1,8 +1,8 @@
 """Sentence boundaries across languages and scripts, as offsets in code points.
 
 A pushdown automaton reads each line of a text from mark to mark. Its stack holds the quotations and brackets that are
-open (only those that are closed again in the line), and no sentence ends inside them; a list number opens the sentence
-it stands in. A terminator ends a sentence unless a trie of abbreviations, read backwards, or a number says otherwise, or
+open (only those that are closed again in the line), and no sentence ends inside them; another, kept over the lines, the
+lists that are open, by their indents. A list number opens the sentence it stands in. A terminator ends a sentence unless a trie of abbreviations, read backwards, or a number says otherwise, or
 what follows goes on in lower case. Closing marks and emoji belong to the sentence before them. In scripts without
 capitals, and in texts written all in small or all in capital letters, case says nothing, and abbreviations decide.
 Chinese and Japanese end at their own terminators without a space; Thai ends at spaces between Thai letters.
@@ -33,7 +33,8 @@ OPENING, CLOSING = "«“„‘「『(（[【《〈", "»”“’」』)）]】
 _CLOSES = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉"}
 _BRACKETS = "(（[【"
 MONTHS = re.compile(r"\s*(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b", re.I)
-DOMAINS = re.compile(r"(?:example|invalid|test|com|net|org|ru|info|html|php|de|io)\b", re.I)
+#: Common top-level domains, with those RFC 2606 reserves for examples, and endings of files.
+DOMAINS = re.compile(r"(?:com|net|org|info|biz|io|co|eu|ru|su|de|uk|fr|cn|jp|example|invalid|test|localhost|html?|php|pdf|txt)\b", re.I)
 
 _EMOJI = "\U0001f000-\U0001faff☀-➿⬀-⯿⌀-⏿️‍"
 _TERM = ".!?…。！？।॥؟۔｡"
@@ -42,6 +43,8 @@ _TAIL = re.compile(rf"[»”“’」』)）\]】》〉\"']+|[ \t ]*[{_EMOJI}]+
 _LINE = re.compile(r"[^\n\r  \x0b\x0c\x85]+")
 _NUMBER_FIRST = re.compile(r"[\s\-•*–—·(]*\d{1,3}$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
+#: A list number or bullet at the start of a line, with what is before it.
+_ITEM = re.compile(r"([ \t\u3000]*)(?:\d{1,3}[.)]|[-•*–—·])[ \t]")
 _EMOJI_ONLY = re.compile(rf"[{_EMOJI}]")
 
 
@@ -166,18 +169,41 @@ def _ends(line: str, start: int, m_start: int, m_end: int, after: int, caseless:
 
 def split(text: str) -> list[tuple[int, int]]:
     """The sentences of ``text`` as offsets [start, end) without outer white space, in order."""
+    return [(a, b) for a, b, _ in split_levels(text)]
+
+
+def _list_level(line: str, stack: list[int]) -> int:
+    """How deep in lists a line stands. ``stack`` holds the indents of the open lists: an item closes those further in, and
+    a line that is no item, unless it is indented as a part of one, closes all."""
+    item = _ITEM.match(line)
+    if item:
+        indent = len(item.group(1))
+        while stack and stack[-1] > indent:
+            stack.pop()
+        if not stack or stack[-1] < indent:
+            stack.append(indent)
+    elif line.strip() and not (stack and len(line) - len(line.lstrip()) > stack[-1]):
+        stack.clear()
+    return len(stack)
+
+
+def split_levels(text: str) -> list[tuple[int, int, int]]:
+    """As ``split``, with the list level of every sentence (0 outside lists)."""
     upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
     caseless = upper == 0 or lower == 0 or upper > 8 * lower
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
+    lists: list[int] = []
+    level = 0
 
     def emit(a: int, b: int) -> None:
         s = text[a:b]
         left = len(s) - len(s.lstrip())
         if left < len(s):
-            out.append((a + left, a + len(s.rstrip())))
+            out.append((a + left, a + len(s.rstrip()), level))
 
     for ln in _LINE.finditer(text):
         line, base = ln.group(), ln.start()
+        level = _list_level(line, lists)
         pairs = _matched(line) if re.search(r"[«“„「『(（\[【《〈\"]", line) else {}
         start, skip, i = 0, 0, 0
         while m := _MARK.search(line, i):
@@ -224,11 +250,16 @@ def split(text: str) -> list[tuple[int, int]]:
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = [(i, k, s, e, t[s:e]) for i, t in zip(b["record_id"], b["text"], strict=True) for k, (s, e) in enumerate(split(t))]
-        yield pd.DataFrame(out, columns=["record_id", "seq", "start_offset", "end_offset", "sentence"])
+        out = [(i, k, s, e, t[s:e], level) for i, t in zip(b["record_id"], b["text"], strict=True) for k, (s, e, level) in enumerate(split_levels(t))]
+        yield pd.DataFrame(out, columns=["record_id", "seq", "start_offset", "end_offset", "sentence", "list_level"])
+
 
+def sentences(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
+    """``record_id, seq, start_offset, end_offset, sentence, list_level`` of every text of ``df``; equal rows give theirs once.
 
-def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``record_id, seq, start_offset, end_offset, sentence`` of every text of ``df``; equal rows are split once."""
-    rows = df.select(F.col(key).cast("string").alias("record_id"), F.col(text).alias("text")).filter("record_id IS NOT NULL AND text IS NOT NULL").distinct()
-    return rows.mapInPandas(_rows, "record_id string, seq int, start_offset int, end_offset int, sentence string")
+    Without ``with_text`` only ``record_id, start_offset, end_offset``: then no text is shuffled, as what was split twice is
+    made one by its offsets.
+    """
+    rows = df.select(F.col(key).cast("string").alias("record_id"), F.col(text).alias("text")).filter("record_id IS NOT NULL AND text IS NOT NULL")
+    out = (rows.distinct() if with_text else rows).mapInPandas(_rows, "record_id string, seq int, start_offset int, end_offset int, sentence string, list_level int")
+    return out if with_text else out.select("record_id", "start_offset", "end_offset").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opinionframe.llm.mixing import language_key, marginal_report, mixture, mixture_report, rake, source_key
 from opinionframe.llm.packing import best_fit, first_room, local_search, pack, pack_summary, packs
 from opinionframe.llm import spam as spam_module
-from opinionframe.llm.sentences import sentences, split
+from opinionframe.llm.sentences import sentences, split, split_levels
 from opinionframe.llm.spam import features, spam_scores
 from opinionframe.llm.tokens import with_token_counts
 
@@ -52,6 +52,11 @@ def test_sentences_of_odd_texts():
     assert len(split(long_)) == 20000
 
 
+def test_list_levels():
+    text = "Плюсы:\n1. Экран. Звук.\n  - Басы\n  - Верха\n2) Цена\n   и доставка\nИтог."
+    assert [(text[a:b], k) for a, b, k in split_levels(text)] == [("Плюсы:", 0), ("1. Экран.", 1), ("Звук.", 1), ("- Басы", 2), ("- Верха", 2), ("2) Цена", 1), ("и доставка", 1), ("Итог.", 0)]
+
+
 def test_offsets_cover_everything_but_white_space():
     rng = random.Random(1)
     for _ in range(300):
@@ -67,6 +72,7 @@ def test_sentence_rows(spark):
     df = spark.createDataFrame([("a", "Да. Нет.", 1), ("a", "Да. Нет.", 1), ("b", None, 1), ("c", "  ", 1), (None, "Да.", 1)], "id string, full_text string, seq int")
     assert [(r.record_id, r.seq, r.start_offset, r.end_offset, r.sentence) for r in sentences(df, "id", "full_text").orderBy("seq").collect()] == [("a", 0, 0, 3, "Да."), ("a", 1, 4, 8, "Нет.")]
     assert sentences(df.limit(0), "id", "full_text").count() == 0
+    assert sorted(tuple(r) for r in sentences(df, "id", "full_text", with_text=False).collect()) == [("a", 0, 3), ("a", 4, 8)]
 
 
 def test_packs_hold_and_are_nearly_full():
