@@ -130,4 +130,10 @@ def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p7_packs": p7_packs, "p7_summary": p7_summary, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_marginals": p8_marginals, "p2_found": p2_found, "p2_sentences": p2_sentences, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_groups": p1_groups, "p9_found": p9_found, "p9_by_language": p9_by_language, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by brute force: shared words, the k-th occurrence of a word being a word of its own.
+_P1_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY id, full_text) AS doc, id, full_text FROM (SELECT DISTINCT id, full_text FROM reviews WHERE id IS NOT NULL AND full_text IS NOT NULL) x),
+w AS (SELECT doc, id, unnest(regexp_extract_all(replace(lower(full_text), 'ё', 'е'), '[a-zªºß-öø-ʯḀ-ỿЀ-ԯᲀ-ᲈⷠ-ⷿꙀ-ꚟ̀-ͯ]+|\p{Nd}+')) AS w FROM d),
+t AS (SELECT doc, id, w, row_number() OVER (PARTITION BY doc, w) AS k, count(*) OVER (PARTITION BY doc) AS n FROM w QUALIFY n >= 30)
+SELECT DISTINCT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, a.doc, b.doc FROM t a JOIN t b ON a.w = b.w AND a.k = b.k AND a.id < b.id GROUP BY a.id, b.id, a.doc, b.doc HAVING 5 * count(*) >= 4 * greatest(any_value(a.n), any_value(b.n))) y"""
+ORACLE_SQL: dict[str, str] = {"p1_found": _P1_SQL}
