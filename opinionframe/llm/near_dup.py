@@ -162,15 +162,39 @@ def linked_ids(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within).filter("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a partition as stars: every node with the smallest one it is connected with inside the partition."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b["s"], b["t"], strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    at = [(x, root(x)) for x in list(parent)]
+    yield pd.DataFrame([(x, r) for x, r in at if x != r], columns=["s", "t"], dtype=object)
+
+
 def components(nodes: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component``: the smallest node linked to each node directly or through others.
 
-    ``nodes`` has one column ``node``. Each round takes the smallest label among the neighbours and then follows labels
+    ``nodes`` has one column ``node`` of strings. The links are first contracted within partitions, by either end in turn,
+    which leaves few and short paths. Each round then takes the smallest label among the neighbours and follows labels
     once more, which halves the remaining paths, so long chains need few rounds.
     """
-    edges = cut_lineage(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct(), in_loop=True)
-    labels = cut_lineage(edges.groupBy("s").agg(F.least(F.first("s"), F.min("t")).alias("l")), in_loop=True)
-    last = labels
+    short = links.select(F.col(a).alias("s"), F.col(b).alias("t"))
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for key in ("s", "s", "t", "s"):
+        short = short.repartition(parts, key).mapInPandas(_contracted, "s string, t string")
+    short = cut_lineage(short.distinct(), in_loop=True)
+    edges = cut_lineage(short.unionByName(short.select(F.col("t").alias("s"), F.col("s").alias("t"))), in_loop=True)
+    labels = last = cut_lineage(edges.groupBy("s").agg(F.least(F.first("s"), F.min("t")).alias("l")), in_loop=True)
     while True:
         best = edges.join(labels.withColumnRenamed("s", "t"), "t").groupBy("s").agg(F.min("l").alias("m"))
         near = labels.join(best, "s").select("s", F.least("l", "m").alias("l"), F.col("l").alias("before"))
