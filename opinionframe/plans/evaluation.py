@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinionframe.functions import rating as R
 from opinionframe.functions import vectors as V
 from opinionframe.operators.covariance import topic_covariance, varied_selection
 from opinionframe.operators.ranks import value_ranks
+from opinionframe.operators.windows import head_by
 from opinionframe.plans.base import PAIRS_SQL, counted, pairs, sql_plan
 from opinionframe.plans.ratings import _ENRICHED, _VEC
 from opinionframe.session import table
@@ -34,8 +36,47 @@ _same("d30_funnel", """
 WITH p AS (SELECT DISTINCT prediction_id, review_id, aspect_name, passed_relevance_filter AS ok FROM nli_predictions), g AS (SELECT DISTINCT review_id, gold_aspect FROM gold_decisions),
 x AS (SELECT CASE WHEN g.review_id IS NOT NULL AND p.ok THEN 'found' WHEN g.review_id IS NOT NULL THEN 'filtered' WHEN p.ok THEN 'extra' ELSE 'dropped' END AS stage FROM p LEFT JOIN g ON g.review_id = p.review_id AND g.gold_aspect = p.aspect_name)
 SELECT stage, count(*) AS n FROM x GROUP BY stage""")
-_same("d36_vocabulary_coverage", "WITH g AS (SELECT DISTINCT review_id, gold_aspect FROM gold_decisions WHERE gold_aspect IS NOT NULL), x AS (SELECT g.review_id, a.aspect_id FROM g LEFT JOIN aspect_reference a ON lower(a.canonical_name) = lower(trim(g.gold_aspect))) SELECT count(*) AS n, count(aspect_id) AS covered, round(count(aspect_id) / count(*), 6) AS share FROM x")
-_same("d42_cluster_sizes", "WITH c AS (SELECT nm_id, count(*) AS k FROM clusters GROUP BY nm_id) SELECT count(*) AS n, round(avg(k), 6) AS mean, round(median(k), 6) AS mid, max(k) AS hi, min(k) AS lo FROM c")
+def d_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per category, how many gold aspects (in lower case) are names or synonyms of the vocabulary, and the first ten missed."""
+    a = table(spark, d, "aspect_reference").select(F.explode(F.concat(F.array("canonical_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("t")).select(F.lower("t").alias("label"), F.lit(1).alias("known")).distinct()
+    ids = table(spark, d, "reviews").groupBy(F.col("id").alias("review_id")).agg(F.min("category").alias("category"))
+    g = table(spark, d, "gold_decisions").filter("gold_aspect IS NOT NULL").select("review_id", F.lower(F.trim("gold_aspect")).alias("label")).join(ids, "review_id").select("category", "label").distinct().join(a, "label", "left")
+    n = g.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("n_covered"), F.round(F.count("known") / F.count(F.lit(1)), 6).alias("share"))
+    key = F.coalesce("category", F.lit("")).alias("k")
+    missed = head_by(g.filter("known IS NULL").select(key, "label"), ["k"], [F.col("label")], 10).groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("missed"))
+    return n.withColumn("k", key).join(missed, "k", "left").drop("k").withColumn("missed", F.coalesce("missed", F.lit("")))
+
+
+_add("d36_vocabulary_coverage", d_coverage, """WITH a AS (SELECT DISTINCT lower(t) AS t FROM (SELECT canonical_name AS t FROM aspect_reference UNION ALL SELECT unnest(synonyms) FROM aspect_reference) x), i AS (SELECT id, min(category) AS category FROM reviews GROUP BY id), g AS (SELECT DISTINCT category, lower(trim(gold_aspect)) AS label FROM gold_decisions JOIN i ON i.id = review_id WHERE gold_aspect IS NOT NULL),
+m AS (SELECT category, label, row_number() OVER (PARTITION BY category ORDER BY label) AS k FROM g WHERE label NOT IN (SELECT t FROM a WHERE t IS NOT NULL)) SELECT g.category, count(*) AS n, count_if(label IN (SELECT t FROM a WHERE t IS NOT NULL)) AS n_covered, round(count_if(label IN (SELECT t FROM a WHERE t IS NOT NULL)) / count(*), 6) AS share, coalesce((SELECT string_agg(label, '|' ORDER BY label) FROM m WHERE m.category IS NOT DISTINCT FROM g.category AND k <= 10), '') AS missed FROM g GROUP BY g.category""")
+_add("d42_cluster_sizes", lambda s, d: table(s, d, "clusters").groupBy("nm_id").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("k"), 6).alias("mean"), F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -k)").cast("bigint").alias("upper_median"), F.max("k").alias("hi"), F.min("k").alias("lo")),
+     "WITH c AS (SELECT count(*) AS k FROM clusters GROUP BY nm_id) SELECT count(*) AS n, round(avg(k), 6) AS mean, (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM c) x WHERE r = n // 2 + 1) AS upper_median, max(k) AS hi, min(k) AS lo FROM c")
+
+
+def d_negation_effect(spark: SparkSession, d: str) -> DataFrame:
+    """Per category: pairs open to a negation's correction, pairs corrected, and the error before and after."""
+    ids = table(spark, d, "reviews").groupBy(F.col("id").alias("review_id")).agg(F.min("category").alias("category"), F.max("rating").alias("stars"))
+    x = pairs(spark, d).join(ids, "review_id")
+    open_ = F.coalesce((F.col("raw") <= 2) & (F.col("stars") >= 4), F.lit(False))
+    return x.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(open_, 1)).alias("n_eligible"), F.count(F.when(open_ & F.col("neg"), 1)).alias("n_matched"),
+        F.round(F.avg(F.abs(F.col("raw") - F.col("gold"))), 6).alias("mae_raw"), F.round(F.avg(F.abs(F.when(open_ & F.col("neg"), R.inverted(F.col("raw"))).otherwise(F.col("raw")) - F.col("gold"))), 6).alias("mae_inverted"),
+    )
+
+
+_add("d47_negation_effect", d_negation_effect, PAIRS_SQL + """, r AS (SELECT id, min(category) AS category, max(rating) AS stars FROM reviews GROUP BY id), x AS (SELECT category, gold, raw, coalesce(raw <= 2 AND stars >= 4, false) AS o, neg FROM pairs JOIN r ON r.id = pairs.review_id)
+SELECT category, count(*) AS n, count_if(o) AS n_eligible, count_if(o AND neg) AS n_matched, round(avg(abs(raw - gold)), 6) AS mae_raw, round(avg(abs(CASE WHEN o AND neg THEN least(5.0, greatest(1.0, 6 - raw)) ELSE raw END - gold)), 6) AS mae_inverted FROM x GROUP BY category""")
+
+
+def d_portfolio(spark: SparkSession, d: str) -> DataFrame:
+    """Per product the variance of a rating that weighs specific aspects double, from the covariance of its topics."""
+    cov = QUERIES["d4_topic_covariance"](spark, d)
+    w = table(spark, d, "aspect_reference").groupBy(F.col("canonical_name").alias("t")).agg(F.max(F.when(F.col("level") == "specific", 2.0).otherwise(1.0)).alias("w"))
+    x = cov.join(w.select(F.col("t").alias("topic_a"), F.col("w").alias("wa")), "topic_a", "left").join(w.select(F.col("t").alias("topic_b"), F.col("w").alias("wb")), "topic_b", "left").na.fill(1.0, ["wa", "wb"])
+    return x.groupBy("nm_id").agg(F.round(F.greatest(F.lit(0.0), F.sum(F.col("wa") * F.col("cov") * F.col("wb")) / F.pow(F.sum(F.when(F.col("topic_a") == F.col("topic_b"), F.col("wa"))), F.lit(2))), 4).alias("variance"))
+
+
+_add("d6_portfolio_variance", d_portfolio, None)
 _same("d45_batch_progress", "WITH s AS (SELECT review_id, count(*) AS n, count_if(manual_decision IS NOT NULL AND trim(manual_decision) <> '') AS done FROM (SELECT DISTINCT prediction_id, review_id, manual_decision FROM system_decisions) x GROUP BY review_id) SELECT CASE WHEN done = 0 THEN 'new' WHEN done < n THEN 'partial' ELSE 'done' END AS state, count(*) AS n FROM s GROUP BY 1")
 _same("d46_label_profile", "WITH g AS (SELECT gold_aspect, count(*) AS n FROM gold_decisions WHERE gold_aspect IS NOT NULL GROUP BY gold_aspect) SELECT gold_aspect, n, CAST(row_number() OVER (ORDER BY n DESC, gold_aspect) AS BIGINT) AS place FROM g")
 _same("d49_majority_aspect", "WITH c AS (SELECT mapped_gold_aspect AS g, system_aspect AS s, count(*) AS n FROM system_decisions WHERE mapped_gold_aspect IS NOT NULL AND system_aspect IS NOT NULL GROUP BY 1, 2), r AS (SELECT g, s, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, s) AS k FROM c) SELECT g, s, n FROM r WHERE k = 1")
@@ -83,3 +124,5 @@ g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT min(ts) AS start_at, max(ts) + INTERVAL 6 HOUR AS end_at, user_id, count(*) AS n FROM g GROUP BY user_id, k""")
 _add("s3_first_deliveries", lambda s, d: first_deliveries(table(s, d, "reviews").select("id", "ingested_at"), "ingested_at", ["id"]).select("id"), "SELECT DISTINCT id FROM reviews")
 _add("s4_running_scores", lambda s, d: running_scores(table(s, d, "nli_predictions"), ["nm_id", "aspect_source"], "final_rating").withColumn("score", F.round("score", 6)), "SELECT nm_id, aspect_source, count(final_rating) AS n, round(CASE WHEN count(final_rating) = 0 THEN 3.0 ELSE greatest(1.0, least(5.0, (sum(final_rating) + 3.0) / (count(final_rating) + 1.0))) END, 6) AS score FROM nli_predictions GROUP BY nm_id, aspect_source")
+ORACLE_SQL["d6_portfolio_variance"] = f"""WITH cov AS ({ORACLE_SQL["d4_topic_covariance"]}), w AS (SELECT canonical_name AS t, max(CASE WHEN level = 'specific' THEN 2 ELSE 1 END) AS w FROM aspect_reference GROUP BY 1), x AS (SELECT nm_id, topic_a, topic_b, cov, coalesce(a.w, 1) AS wa, coalesce(b.w, 1) AS wb FROM cov LEFT JOIN w a ON a.t = topic_a LEFT JOIN w b ON b.t = topic_b)
+SELECT nm_id, round(greatest(0, sum(wa * cov * wb) / pow(sum(CASE WHEN topic_a = topic_b THEN wa END), 2)), 4) AS variance FROM x GROUP BY nm_id"""

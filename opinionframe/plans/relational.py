@@ -9,6 +9,7 @@ from opinionframe.functions import text as X
 from opinionframe.functions import vectors as V
 from opinionframe.functions.rating import length_trust
 from opinionframe.operators.heavy_keys import skew_join
+from opinionframe.operators.joins import word_matches
 from opinionframe.operators.ranks import value_ranks
 from opinionframe.operators.upsert import upsert_latest
 from opinionframe.operators.windows import first_by, head_by, share_of_total
@@ -114,7 +115,8 @@ _same("c12_overlapping_spans", "WITH c AS (SELECT DISTINCT candidate_id, review_
 _same("c14_in_all_sources", "SELECT review_id, text_lemmatized FROM candidates WHERE text_lemmatized IS NOT NULL GROUP BY review_id, text_lemmatized HAVING count(DISTINCT source) = (SELECT count(DISTINCT source) FROM candidates)")
 _same("c15_presence_matrix", "SELECT review_id, text_lemmatized, max(CASE WHEN source = 'ngram' THEN 1 ELSE 0 END) AS in_ngram, max(CASE WHEN source = 'dependency' THEN 1 ELSE 0 END) AS in_dependency, count(DISTINCT source) AS n_sources FROM candidates GROUP BY review_id, text_lemmatized")
 _same("c17_mapped_targets", "WITH m AS (SELECT DISTINCT system_aspect, mapped_gold_aspect AS t FROM system_decisions WHERE mapped_gold_aspect IS NOT NULL) SELECT t, count(DISTINCT p.prediction_id) AS n FROM nli_predictions p JOIN m ON m.system_aspect = p.aspect_name GROUP BY t")
-_same("c20_last_cluster", "SELECT nm_id, lower(medoid_phrase) AS phrase, max(cluster_id) AS cluster_id FROM clusters GROUP BY nm_id, lower(medoid_phrase)")
+_add("c20_cluster_keys", lambda s, d: table(s, d, "clusters").select("nm_id", "cluster_id", F.explode(F.array_distinct(F.filter(F.array(F.lower("medoid_phrase"), F.lower("matched_to_gold_aspect")), lambda x: x.isNotNull()))).alias("key")).groupBy("nm_id", "key").agg(F.max("cluster_id").alias("cluster_id")),
+     "SELECT nm_id, key, max(cluster_id) AS cluster_id FROM (SELECT nm_id, lower(medoid_phrase) AS key, cluster_id FROM clusters UNION ALL SELECT nm_id, lower(matched_to_gold_aspect), cluster_id FROM clusters) x WHERE key IS NOT NULL GROUP BY nm_id, key")
 _same("c21_resolver_fallback", "WITH s AS (SELECT review_id, lower(system_aspect) AS a, aspect_source AS src, max(prediction_id) AS p FROM system_decisions GROUP BY 1, 2, 3), t AS (SELECT review_id, a, max(p) AS p FROM s GROUP BY review_id, a), g AS (SELECT DISTINCT review_id, lower(gold_aspect) AS a FROM gold_decisions) SELECT g.review_id, g.a, coalesce(s.p, t.p) AS prediction_id FROM g LEFT JOIN s ON s.review_id = g.review_id AND s.a = g.a AND s.src = 'vocab' LEFT JOIN t ON t.review_id = g.review_id AND t.a = g.a")
 
 
@@ -163,7 +165,18 @@ _add("h2_plain_sentences", lambda s, d: _texts(s, d).select("id", F.size(X.plain
      rf"SELECT id, greatest(1, len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: regexp_matches(x, '[^{_WS}]')))) AS n_sentences FROM ({_ID}) y")
 _add("h4_words", lambda s, d: _texts(s, d).select("id", F.size(X.words(F.col("t"))).cast("bigint").alias("n_words")),
      rf"SELECT id, len(list_filter(regexp_extract_all(t, '[^{_WS}]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_-]'))) AS n_words FROM ({_ID}) y")
-_add("h6_phrase_candidates", lambda s, d: _texts(s, d).select("id", X.words(F.col("t")).alias("w")).select("id", F.explode(X.phrase_candidates(F.col("w"))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), None)
+STOP_TOKENS = ("это", "для", "как", "что", "the", "and", "was", "der", "die", "das", "und")  # fixed values
+
+
+def h_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Words and pairs of words of every sentence, three letters or more each and no stop word, once a sentence, counted."""
+    w = _texts(spark, d).select("id", F.posexplode(X.plain_sentences(F.col("t"))).alias("at", "s")).select("id", "at", F.filter(X.words(F.col("s")), lambda x: ~x.isin(*STOP_TOKENS)).alias("w"))
+    return w.select(F.explode(X.phrase_candidates(F.col("w"))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("h6_phrase_candidates", h_phrases, rf"""WITH s AS (SELECT id, CASE WHEN len(p) > 0 THEN p ELSE [t] END AS p FROM (SELECT id, t, list_filter(string_split_regex(t, '[.!?]+'), lambda x: regexp_matches(x, '[^{_WS}]')) AS p FROM ({_ID}) y) z),
+w AS (SELECT id, i, list_filter(list_transform(regexp_extract_all(lower(p[i]), '[^{_WS}]+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}\p{{M}}_-]', '', 'g')), lambda x: x <> '' AND x NOT IN {STOP_TOKENS}) AS w FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM s) q),
+g AS (SELECT DISTINCT id, i, unnest(list_concat(list_filter(w, lambda x: length(x) >= 3), list_transform(list_filter(range(1, len(w)), lambda k: length(w[k]) >= 3 AND length(w[k + 1]) >= 3), lambda k: w[k] || ' ' || w[k + 1]))) AS phrase FROM w) SELECT phrase, count(*) AS n FROM g GROUP BY phrase""")
 _add("h9_normal_form", lambda s, d: table(s, d, "candidates").filter("text IS NOT NULL").select("candidate_id", X.normal_form(F.col("text")).alias("norm")).distinct(), f"SELECT DISTINCT candidate_id, {_NORM('text')} AS norm FROM candidates WHERE text IS NOT NULL")
 _add("h20_contains_term", lambda s, d: table(s, d, "parsed_chunks").filter("sentence IS NOT NULL AND head_lemma IS NOT NULL").select("chunk_id", X.contains_term(F.lower("sentence"), F.col("head_lemma")).alias("holds")).distinct(), "SELECT DISTINCT chunk_id, contains(' ' || lower(sentence) || ' ', ' ' || head_lemma || ' ') AS holds FROM parsed_chunks WHERE sentence IS NOT NULL AND head_lemma IS NOT NULL")
 _same("h22_composed_text", "SELECT DISTINCT id, concat_ws(' ', nullif(trim(pros), ''), nullif(trim(cons), ''), nullif(trim(full_text), '')) AS body FROM reviews")
@@ -177,7 +190,15 @@ _same("j1_review_age", "SELECT DISTINCT id, CAST(ingested_at AS DATE) AS day, CA
 _add("j2_array_profile", lambda s, d: table(s, d, "product_aggregates").select("run_id", "nm_id", "aspect_name", "aspect_source", F.size("contributing_review_ids").cast("bigint").alias("n_ids"), F.array_join(F.array_sort(F.array_distinct("contributing_review_ids")), "|").alias("ids")).distinct(), "SELECT DISTINCT run_id, nm_id, aspect_name, aspect_source, len(contributing_review_ids) AS n_ids, array_to_string(list_sort(list_distinct(contributing_review_ids)), '|') AS ids FROM product_aggregates")
 _add("k2_unit_centroids", lambda s, d: V.mean_vectors(table(s, d, "embeddings").select("label", V.unit(F.col("embedding")).alias("u")), "label", "u").select("label", F.round(V.norm(F.col("centroid")), 5).alias("length")),
      "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i) SELECT label, round(sqrt(sum(x * x)), 5) AS length FROM m GROUP BY label")
-_same("k17_uncovered_aspects", "WITH w AS (SELECT DISTINCT lower(medoid_phrase) AS p FROM clusters) SELECT aspect_id, canonical_name FROM aspect_reference a WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE lower(c.matched_to_gold_aspect) = lower(a.canonical_name))")
+def k_uncovered(spark: SparkSession, d: str) -> DataFrame:
+    """Aspects none of whose words stands in a cluster's phrase."""
+    a = table(spark, d, "aspect_reference").select("aspect_id", "canonical_name")
+    k = table(spark, d, "clusters").filter("medoid_phrase IS NOT NULL").select("cluster_id", "medoid_phrase")
+    met = word_matches(a, k, ["aspect_id"], ["cluster_id"], F.col("canonical_name"), F.col("medoid_phrase")).select("aspect_id").distinct()
+    return a.join(met, "aspect_id", "left_anti")
+
+
+_add("k17_uncovered_aspects", k_uncovered, "SELECT aspect_id, canonical_name FROM aspect_reference a WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE len(list_intersect(string_split_regex(lower(c.medoid_phrase), '\\s+'), string_split_regex(lower(a.canonical_name), '\\s+'))) > 0)")
 _same("d39_surface_forms", "WITH c AS (SELECT text_lemmatized AS k, text, count(*) AS n FROM candidates WHERE text_lemmatized IS NOT NULL AND text IS NOT NULL GROUP BY text_lemmatized, text), r AS (SELECT k, text, sum(n) OVER (PARTITION BY k) AS weight, row_number() OVER (PARTITION BY k ORDER BY n DESC, text) AS i FROM c) SELECT k, text AS surface, CAST(weight AS BIGINT) AS weight FROM r WHERE i = 1")
 
 # --- upserts and checks
