@@ -199,7 +199,7 @@ x AS (SELECT i.review_id, (SELECT count(p.a) FROM p WHERE p.review_id = i.review
 y AS (SELECT review_id, tp, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 THEN 0.0 ELSE tp / np END AS pr, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE tp / ng END AS rc FROM x)
 SELECT review_id, CAST(tp AS BIGINT) AS tp, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS f1 FROM y""")
 
-_same("d12_product_metrics", PAIRS_SQL + ", m AS (SELECT nm_id, aspect_name, count(*) AS n, avg(gold) AS g, avg(pred) AS p FROM pairs GROUP BY nm_id, aspect_name) SELECT nm_id, count(*) AS n_aspects, round(avg(abs(g - p)), 6) AS mae, round(avg(CASE WHEN n >= 3 THEN abs(g - p) END), 6) AS mae_n3 FROM m GROUP BY nm_id")
+_same("d12_product_metrics", PAIRS_SQL + ", m AS (SELECT nm_id, aspect_name, count(*) AS n, avg(gold) AS g, avg(pred) AS p FROM pairs GROUP BY nm_id, aspect_name) SELECT nm_id, count(*) AS n_aspects, round(avg(abs(g - p)), 5) AS mae, round(avg(CASE WHEN n >= 3 THEN abs(g - p) END), 5) AS mae_n3 FROM m GROUP BY nm_id")
 _same("d13_star_baseline", PAIRS_SQL + ", r AS (SELECT id, max(rating) AS stars FROM reviews GROUP BY id) SELECT count(*) AS n, round(avg(abs(stars - gold)), 6) AS mae_star, round(avg(abs(pred - gold)), 6) AS mae_model, round(avg(abs(3.0 - gold)), 6) AS mae_constant FROM pairs JOIN r ON r.id = pairs.review_id WHERE stars IS NOT NULL")
 _same("d15_category_means", "SELECT category_id, count(*) AS n, round(avg(cohesion), 6) AS cohesion, round(avg(CASE WHEN is_novel THEN 1e0 ELSE 0e0 END), 6) AS novel_share FROM clusters GROUP BY category_id")
 _same("d18_aggregate_mae", "SELECT aspect_source, count(*) AS n, round(avg(abs_error), 6) AS mae, round(avg(CASE WHEN n_reviews_contributing >= 3 THEN abs_error END), 6) AS mae_n3 FROM (SELECT DISTINCT run_id, nm_id, aspect_name, aspect_source, n_reviews_contributing, abs_error FROM product_aggregates) x GROUP BY aspect_source")

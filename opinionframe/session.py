@@ -66,5 +66,11 @@ def drop_written(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` over all cores before work in Python, if it comes in fewer partitions than there are; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
