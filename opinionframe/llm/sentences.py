@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinionframe.session import spread
+
 # Abbreviations without their last full stop and without spaces; pairs of marks; months after "3.".
 #: Never the end of a sentence.
 NEVER = "ул пер просп пл д кв корп ок напр см стр рис т.е т.к т.н им проф тел ср гл п mr mrs ms dr st vs e.g i.e approx incl prof nr ca inkl z.b bzw ggf u.a d.h fig डॉ श्री د".split()
@@ -261,5 +263,5 @@ def sentences(df: DataFrame, key: str, text: str, with_text: bool = True) -> Dat
     made one by its offsets.
     """
     rows = df.select(F.col(key).cast("string").alias("record_id"), F.col(text).alias("text")).filter("record_id IS NOT NULL AND text IS NOT NULL")
-    out = (rows.distinct() if with_text else rows).mapInPandas(_rows, "record_id string, seq int, start_offset int, end_offset int, sentence string, list_level int")
+    out = (rows.distinct() if with_text else spread(rows, "record_id")).mapInPandas(_rows, "record_id string, seq int, start_offset int, end_offset int, sentence string, list_level int")
     return out if with_text else out.select("record_id", "start_offset", "end_offset").distinct()

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinionframe.session import cut_lineage
+from opinionframe.session import cut_lineage, spread
 
 WINDOW, SHORT, PRIOR, STEPS = 50, 30.0, 50.0, 8
 FEATURES = ("density", "entropy", "repetition", "function")
@@ -132,7 +132,8 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def document_features(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The features of every document with a text that isn't blank."""
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0").mapInPandas(_rows, _SCHEMA)
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
+    return spread(rows, "id").mapInPandas(_rows, _SCHEMA)
 
 
 Fit = tuple[np.ndarray, np.ndarray]  # centre and inverse scatter

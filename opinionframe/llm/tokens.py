@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinionframe.session import spread
+
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 _LOADED: dict[str, object] = {}
 
@@ -41,4 +43,4 @@ def with_token_counts(df: DataFrame, text: str, keep: list[Column], folder: str
             yield b[names].assign(n_tokens=[len(t.encode_ordinary(x)) for x in b["text_"]])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != "text_")
-    return rows.mapInPandas(count, schema + ", n_tokens bigint").filter("n_tokens > 0")
+    return spread(rows, names[0]).mapInPandas(count, schema + ", n_tokens bigint").filter("n_tokens > 0")
