@@ -139,45 +139,36 @@ def document_features(docs: DataFrame, key: str, text: str) -> DataFrame:
 Fit = tuple[np.ndarray, np.ndarray]  # centre and inverse scatter
 
 
-def _by_language(fits: dict[str, Fit], make) -> F.Column:
-    out = F.lit(None).cast("double")
-    for lang, fit in fits.items():
-        out = F.when(F.col("lang") == lang, make(*fit)).otherwise(out)
-    return out
-
-
-def _deviations(m: np.ndarray) -> list:
-    return [F.col(f) - F.lit(float(c)) for f, c in zip(FEATURES, m, strict=True)]
-
+_K = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_K) for j in range(i, _K)]
+_FACTS = [*(f"m{i}" for i in range(_K)), *(f"f{i}{j}" for i, j in _PAIRS), *(f"a{p}{i}" for p in range(len(POLES)) for i in range(_K))]
 
-def distance2(fits: dict[str, Fit]):
-    """The squared Mahalanobis distance of a row from its language's centre, as an expression of the JVM."""
 
-    def form(m: np.ndarray, inv: np.ndarray):
-        x = _deviations(m)
-        return sum((x[i] * x[j] * float(inv[i, j] * (1 if i == j else 2)) for i in range(len(x)) for j in range(i, len(x))), F.lit(0.0))
+def _joined(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+    """``df`` with numbers of its language, which come as a table: so every step runs the same compiled code."""
+    facts = df.sparkSession.createDataFrame([(k, *(float(x) for x in v)) for k, *v in rows], "lang string, " + ", ".join(f"{c} double" for c in names))
+    return df.join(F.broadcast(facts), "lang")  # a row a language
 
-    return _by_language(fits, form)
 
-
-def spam_side(fits: dict[str, Fit]):
-    """How far a row lies towards the closer pole: 0 at the language's centre, 1 at a page of spam only."""
-
-    def place(m: np.ndarray, inv: np.ndarray):
-        x, sides = _deviations(m), []
+def with_distances(df: DataFrame, fits: dict[str, Fit]) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance from the language's centre, and ``side``, how far a row lies towards the
+    closer pole: 0 at the centre, 1 at a page of spam only."""
+    rows = []
+    for lang, (m, inv) in fits.items():
+        along = []
         for pole in POLES:
             to = np.array([0.0 if p is None else p - c for p, c in zip(pole, m, strict=True)])
-            along = inv @ to / max(float(to @ inv @ to), 1e-12)
-            sides.append(sum((xi * float(v) for xi, v in zip(x, along, strict=True)), F.lit(0.0)))
-        return F.greatest(*sides)
-
-    return _by_language(fits, place)
+            along += list(inv @ to / max(float(to @ inv @ to), 1e-12))
+        rows.append((lang, *m, *(inv[i, j] * (1 if i == j else 2) for i, j in _PAIRS), *along))
+    x = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
+    d2 = sum((x[i] * x[j] * F.col(f"f{i}{j}") for i, j in _PAIRS), F.lit(0.0))
+    sides = [sum((x[i] * F.col(f"a{p}{i}") for i in range(_K)), F.lit(0.0)) for p in range(len(POLES))]
+    return _joined(df, rows, _FACTS).select(*df.columns, d2.alias("d2"), F.greatest(*sides).alias("side"))
 
 
 def _moments(rows: DataFrame) -> dict[str, Fit]:
     """Centre and inverse scatter of each language's ``rows``, drawn to those of all by PRIOR rows."""
-    k = len(FEATURES)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    k, pairs = _K, _PAIRS
     sums = rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i, j in pairs)
     ).collect()  # a row a language
@@ -203,13 +194,13 @@ def robust_fits(feats: DataFrame) -> dict[str, Fit]:
     """Per language, centre and inverse scatter of its closest half, after at most STEPS concentration steps."""
     middle = lambda c, name: F.percentile_approx(c, 0.5, 1000).alias(name)
     mids = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in feats.groupBy("lang").agg(*(middle(f, f) for f in FEATURES)).collect()}
-    away = [_by_language({k: (m, None) for k, m in mids.items()}, lambda m, _, i=i: F.abs(_deviations(m)[i])) for i in range(len(FEATURES))]
-    mads = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in feats.groupBy("lang").agg(*(middle(a, f) for a, f in zip(away, FEATURES, strict=True))).collect()}
+    away = _joined(feats, [(k, *m) for k, m in mids.items()], [f"m{i}" for i in range(_K)]).select("lang", *(F.abs(F.col(f) - F.col(f"m{i}")).alias(f) for i, f in enumerate(FEATURES)))
+    mads = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in away.groupBy("lang").agg(*(middle(f, f) for f in FEATURES)).collect()}
     fits = {k: (m, np.diag(1 / np.maximum(np.square(1.4826 * mads[k]), np.square(FLOOR)))) for k, m in mids.items()}
     for _ in range(STEPS):
-        near = feats.withColumn("d2", distance2(fits))
-        cuts = {r["lang"]: r["c"] for r in near.groupBy("lang").agg(F.percentile_approx("d2", 0.5, 1000).alias("c")).collect()}
-        before, fits = fits, _moments(near.filter(F.col("d2") <= _by_language({k: (c, None) for k, c in cuts.items()}, lambda c, _: F.lit(float(c)))))
+        near = with_distances(feats, fits)
+        cuts = [(r["lang"], r["c"]) for r in near.groupBy("lang").agg(F.percentile_approx("d2", 0.5, 1000).alias("c")).collect()]
+        before, fits = fits, _moments(_joined(near, cuts, ["cut"]).filter("d2 <= cut"))
         if max(np.abs(fits[k][0] - before[k][0]).max() for k in fits) < 1e-3:
             break
     return fits
@@ -220,7 +211,6 @@ def spam_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     feats = cut_lineage(document_features(docs, key, text))
     if feats.isEmpty():
         return feats.selectExpr("*", "0D AS d2", "0D AS side", "false AS is_spam")
-    fits = robust_fits(feats)
     known = F.col("size") / (F.col("size") + SHORT)
-    scored = feats.withColumn("d2", distance2(fits) * known * known).withColumn("side", spam_side(fits) * known)
+    scored = with_distances(feats, robust_fits(feats)).withColumn("d2", F.col("d2") * known * known).withColumn("side", F.col("side") * known)
     return scored.withColumn("is_spam", (F.col("d2") > OUTLIER) & (F.col("side") >= HALF_WAY))

@@ -182,8 +182,9 @@ def test_distance_and_side_equal_numpy(spark):
     fits = {"x": (m, a @ a.T + np.eye(4))}
     x = rng.normal(size=(20, 4))
     df = spark.createDataFrame([("x", *map(float, r)) for r in x], "lang string, " + ", ".join(f"{f} double" for f in spam_module.FEATURES))
-    got = [(r.d, r.s) for r in df.select(spam_module.distance2(fits).alias("d"), spam_module.spam_side(fits).alias("s")).collect()]
+    got = {tuple(round(r[f], 12) for f in spam_module.FEATURES): (r.d2, r.side) for r in spam_module.with_distances(df, fits).collect()}
     inv = fits["x"][1]
     to = [np.array([0.0 if p is None else p - c for p, c in zip(pole, m)]) for pole in spam_module.POLES]
-    for r, (d, s) in zip(x, got):
+    for r in x:
+        d, s = got[tuple(round(float(v), 12) for v in r)]
         assert abs(d - (r - m) @ inv @ (r - m)) < 1e-9 and abs(s - max((r - m) @ inv @ t / (t @ inv @ t) for t in to)) < 1e-9
