@@ -59,21 +59,21 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_documents(table(spark, d, "reviews"), "id", "full_text")
 
 
-def _phrases(spark: SparkSession, d: str) -> DataFrame:
+def _phrases(spark: SparkSession, d: str, with_typicality: bool) -> DataFrame:
     named = table(spark, d, "clusters").select(F.col("cluster_id").alias("name_id"), F.col("medoid_phrase").alias("phrase")).filter("phrase IS NOT NULL")
-    return cut_lineage(phrase_clusters(table(spark, d, "candidates").select("candidate_id", "text").distinct(), named))
+    return cut_lineage(phrase_clusters(table(spark, d, "candidates").select("candidate_id", "text").distinct(), named, with_typicality))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The candidates of the clusters that ``clusters`` names, one row each."""
-    named = _phrases(spark, d).filter("name_id IS NOT NULL").select("text", "name_id")
+    named = _phrases(spark, d, False).filter("name_id IS NOT NULL").select("text", "name_id")
     rows = table(spark, d, "candidates").select("candidate_id", "text").filter("candidate_id IS NOT NULL")
     return skew_join(rows, named, "text", how="inner").groupBy("candidate_id").agg(F.min("name_id").alias("cluster_id"))
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Every cluster with its size, its number of wordings and its three most typical phrases."""
-    rows = _phrases(spark, d).filter("cluster IS NOT NULL AND n > 0")
+    rows = _phrases(spark, d, True).filter("cluster IS NOT NULL AND n > 0")
     first = Window.partitionBy("cluster").orderBy(F.col("typicality").desc(), F.col("n").desc(), "text")
     top = rows.withColumn("r", F.row_number().over(first)).filter("r <= 3").groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), " / ").alias("typical"))
     return rows.groupBy("cluster").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_wordings"), F.min("name_id").alias("cluster_id")).join(top, "cluster")
