@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import __spark_entry__ as entry
 
@@ -50,3 +51,26 @@ def test_terms_contained_either_way(spark, tmp_path):
     x, y = {f"c{i}": (t or "").lower().split() for i, t in enumerate(texts)}, {i: (t or "").lower().split() for i, t in enumerate(terms)}
     want = sorted((i, k) for i, t in x.items() for k, v in y.items() if tuple(t) in runs(v) or tuple(v) in runs(t))
     assert sorted(_rows(spark, tmp_path, "c8_contained_terms", clusters=a, candidates=c)) == want
+
+
+def _shuffled_mb(spark, run):
+    """What ``run`` gives and the MB shuffled for it."""
+
+    def written():
+        time.sleep(0.5)
+        spark.range(1).count()  # the store is brought up to date by later tasks
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+
+    before = written()
+    return run(), written() - before
+
+
+def test_targets_are_counted_without_all_pairs_of_predictions_and_targets(spark, tmp_path):
+    n = [(f"p{i}", f"a{i % 3}") for i in range(3000)] + [("p1", "a2"), ("p1", "b"), ("p2", "a2"), ("q", None), (None, "a1"), (None, "c"), ("q", "unmapped")]
+    s = [(f"a{i}", f"t{k}") for i in range(3) for k in range(300)] * 2 + [("b", "t0"), ("b", "v"), ("c", "w"), ("c", None), (None, "t1"), ("d", "t2")]
+    want = {t: {p for p, a in n if p and (a, t) in s and a} for t in {t for a, t in s if t and any(a == x for _, x in n if x)}}
+    tables = {"nli_predictions": spark.createDataFrame(n, "prediction_id string, aspect_name string"), "system_decisions": spark.createDataFrame(s, "system_aspect string, mapped_gold_aspect string")}
+    got, mb = _shuffled_mb(spark, lambda: dict(_rows(spark, tmp_path, "c17_mapped_targets", **tables)))
+    assert got == {t: len(p) for t, p in want.items()} and got["w"] == 0 and got["v"] == 1
+    assert mb < 1.5
