@@ -6,6 +6,9 @@ import re
 import time
 
 import __spark_entry__ as entry
+import numpy as np
+
+from opinionframe.operators.covariance import topic_covariance
 
 
 def _rows(spark, tmp_path, query, **tables):
@@ -74,3 +77,26 @@ def test_targets_are_counted_without_all_pairs_of_predictions_and_targets(spark,
     got, mb = _shuffled_mb(spark, lambda: dict(_rows(spark, tmp_path, "c17_mapped_targets", **tables)))
     assert got == {t: len(p) for t, p in want.items()} and got["w"] == 0 and got["v"] == 1
     assert mb < 1.5
+
+
+def test_pairs_of_topics_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(2)
+    wide = [("w", f"r{i}", f"topic {i:03d}", float(rng.randint(1, 5))) for i in range(900)]
+    rows = wide + [(g, f"r{i}", f"t{j}", float(rng.randint(1, 5))) for g in ("x", None) for i in range(60) for j in range(300) if rng.random() < 0.2]
+    got, mb = _shuffled_mb(spark, lambda: topic_covariance(spark.createDataFrame(rows, "g string, r string, t string, v double"), "g", "r", "t", "v").write.parquet(str(tmp_path / "cov")))
+    out = {(r.g, r.topic_a, r.topic_b): r.cov for r in spark.read.parquet(str(tmp_path / "cov")).collect()}
+    assert len(out) == 900**2 + 2 * 300**2 and spark.read.parquet(str(tmp_path / "cov")).count() == len(out)
+    assert all(out["w", a, b] == (1.0 if a == b else 0.0) for _, _, a, _ in wide for b in ("topic 000", "topic 899"))
+    for g in ("x", None):
+        x = np.full((60, 300), np.nan)
+        for k, r, t, v in rows:
+            if k == g:
+                x[int(r[1:]), int(t[1:])] = v
+        x = np.nan_to_num(x - np.nanmean(x, axis=0))
+        s, k, n = x.T @ x / 60, 300, 60
+        mu = np.trace(s) / k
+        d2 = np.sum((s - mu * np.eye(k)) ** 2) / k
+        w = min(d2, np.sum((x**2).T @ (x**2) / n - s**2) / k / n) / d2
+        c = (1 - w) * s + w * mu * np.eye(k)
+        assert all(abs(out[g, f"t{i}", f"t{j}"] - c[i, j]) < 1e-9 for i in range(300) for j in range(300))
+    assert mb < 14
