@@ -9,6 +9,7 @@ import pytest
 from opinionframe.llm import clusters as cl
 from opinionframe.llm import near_dup
 from opinionframe.llm.packing import best_fit, pack
+from opinionframe.llm.textnorm import edit_distance
 
 
 def _alike(a, b, n):
@@ -66,3 +67,33 @@ def test_bins_over_half_full_are_emptied_too():
         assert fill.max() <= 100 and fill.min() > 0 and len(at) == 120
         fitted, packed = fitted + len(bins), packed + len(fill)
     assert packed <= fitted - 10
+
+
+def test_alike_words_are_compared_once(spark):
+    """Pairs of words meet once for each word with letters left out that they share; edits are counted after they are made
+    distinct, not also before."""
+    words = [("kamera", 90), ("kamrea", 1), ("kamer", 2), ("kameraa", 1), ("kammera", 1), ("kmaera", 3), ("nozhka", 40), ("nozka", 2), ("xyz", 5)]
+    links = cl.word_links(spark.createDataFrame(words, "w string, n bigint"))
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r.w, r.to): r.t for r in links.collect()}
+    n = dict(words)
+    shared = lambda a, b: cl.deletions(a) & cl.deletions(b)
+    met = {(a, b): cl.word_similarity(a, b, n[a] / n[b]) for a in n for b in n if (n[a], a) < (n[b], b) and shared(a, b)}
+    want = {k: t for k, t in met.items() if t >= cl.WORD_LEAST}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 5
+
+
+def test_edits_between_equal_beginnings_and_ends():
+    def plain(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("ab", k=rng.randint(0, 7))) for _ in "xy")
+        assert edit_distance(a, b) == plain(a, b)
